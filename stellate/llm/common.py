@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch; with texts of 100 KB each a batch is then some tens of MB.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,11 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches hold BATCH_ROWS rows at most, so that Python workers need little memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches hold BATCH_ROWS rows and BATCH_BYTES at most, so that Python workers need little memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

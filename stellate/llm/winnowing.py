@@ -115,6 +115,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without a benchmark passage, with all their columns."""
+    hit = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__hit")).distinct()
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+
+
 ORACLE = r"""
 WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS win
