@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def per_worker(key: tuple, make: Callable):
+    """make(), once for each Python worker: kept from task to task where workers are used again."""
+    kept = sys.modules.setdefault("_stellate_worker", types.ModuleType("_stellate_worker")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import bisect
 import io
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, partitions, scratch, vocabulary
+from stellate.llm.common import bounded_batches, partitions, per_worker, scratch, vocabulary
 
 MAGIC = b"STLSST01"
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 FOOTER = "<QQQQQQB7x8s"  # index at, bytes; filter at, bytes; entries; ids; bytes of an id; magic
 INDEX_ENTRY = "<QIIQ"  # block at, bytes, entries, ids in earlier blocks
-#: Distinct words whose ids a task remembers; the memory is emptied beyond that.
-WORDS_KEPT = 400_000
+#: Distinct words whose ids a worker remembers, over all its tasks; the memory is emptied beyond that.
+WORDS_KEPT = 1_500_000
 
 
 def key_of(identifier) -> bytes:
@@ -198,10 +198,12 @@ class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
     The vocabulary drops white space and never joins what stands on its two sides, so the ids of a text
-    are those of its words (runs without ASCII white space), one after another.
+    are those of its words (runs without ASCII white space), one after another. It also folds case, so A-Z
+    are folded here, save in texts that may spell special tokens. Words go to the library many at
+    a time, parted by MARK, whose single id doesn't stem from any word without a MARK in it.
     """
 
-    SPACES = re.compile(r"[ \t\n\r\f\v]+")
+    MARK = "0"
 
     def __init__(self, path: str):
         import os
@@ -211,21 +213,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        kind, known, encode = "H" if self.id_bytes == 2 else "I", self.known, self.tokenizer.encode_batch_fast
+        mark = self.MARK.encode()
+        alone = [w for w in new if mark in w]
+        if alone:
+            new = [w for w in new if mark not in w]
+        groups = [new[i : i + 64] for i in range(0, len(new), 64)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for ws, e in zip(part, encode([(b" %b " % mark).join(ws).decode() for ws in part], add_special_tokens=False)):
+                ids = array(kind, e.ids)
+                cuts = [i for i, x in enumerate(ids) if x == self.mark]
+                if len(cuts) != len(ws) - 1:
+                    alone += ws
+                    continue
+                raw, begin, size = ids.tobytes(), 0, self.id_bytes
+                for w, end in zip(ws, [*cuts, len(ids)]):
+                    known[w] = raw[begin : end * size]
+                    begin = (end + 1) * size
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
+            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False)):
+                known[w] = array(kind, e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        known = self.known
-        words = [self.SPACES.split(t) if t else [] for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        kind = f"<u{self.id_bytes}"
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, kind).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        raw = [t.encode() if t else b"" for t in texts]
+        words = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        self._learn(list(set().union(*words).difference(self.known)))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary_file: str = "word_bpe_49k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> list[tuple[str, int, int]]:
@@ -247,7 +270,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary_file: str = "word_bpe_49
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = WordEncoder(vocabulary(vocabulary_file))
+                encoder = per_worker(("words", vocabulary_file), lambda: WordEncoder(vocabulary(vocabulary_file)))
                 end = np.array([end_id], f"<u{encoder.id_bytes}").tobytes()
                 name = f"{path}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.sst"
                 system, at = fs.FileSystem.from_uri(name)
