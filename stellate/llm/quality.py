@@ -30,6 +30,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 CHARS_LIMIT, CHARS_SLACK = 0.10, 0.2
 WORDS_LIMIT, WORDS_SLACK = 0.45, 1.5
 MIN_REFERENCE = 1_000
+#: Languages whose references (a KB each) are broadcast; keys that a language is spread over beyond.
+BROADCAST_MOST, SALTS = 2_000, 64
 
 # Common words by language.
 COMMON_WORDS = {
@@ -134,11 +136,19 @@ def references(stats: DataFrame) -> DataFrame:
     )
 
 
+def with_references(stats: DataFrame, refs: DataFrame, broadcast_most: int = BROADCAST_MOST) -> DataFrame:
+    """stats with the references of their language; beyond a number of languages by a join that spreads each language over SALTS keys."""
+    if refs.count() <= broadcast_most:
+        return stats.join(F.broadcast(refs), "lang", "left")
+    spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return stats.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"], "left").drop("salt")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, base_failed and kept of every row."""
     stats = checkpointed(document_stats(docs, id_col, text_col, lang_col))
     kind = dict(stats.dtypes)["id"]
-    joined = stats.join(references(stats), "lang", "left")
+    joined = with_references(stats, checkpointed(references(stats)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
