@@ -19,23 +19,33 @@ from pyspark.sql import functions as F
 #: Turns of a part.
 PART_TURNS = 128
 SYSTEM = "system"
+HEADS = {"system": "<|system|>\n", "own": "<|assistant|>\n", "other": "<|user name=", "after": "|>\n"}
+END = "<|end|>\n"
 
 
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, speaker, part, part_start, n_turns, text, mask (``start:end`` of masked characters, comma-joined), mask_chars."""
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00"))
     own = turns.select(
-        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("body"),
+        "conv_id", key.alias("c"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("body"),
     )
     own = own.withColumn("part", F.expr(f"cast(floor(greatest(turn, 0) / {part_turns}) as long)"))
-    parts = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body"))).alias("turns"))
-    speakers = own.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-    views = parts.withColumnRenamed("conv_id", "c").join(speakers, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
 
     def head(role):
-        return F.when(role == SYSTEM, "<|system|>\n").when(role == F.col("speaker"), "<|assistant|>\n").otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+        return F.when(role == SYSTEM, HEADS["system"]).when(role == F.col("speaker"), HEADS["own"]).otherwise(F.concat(F.lit(HEADS["other"]), role, F.lit(HEADS["after"])))
 
-    said = F.transform("turns", lambda t: F.struct(head(t["role"]).alias("head"), F.concat(t["body"], F.lit("<|end|>\n")).alias("body"), ((t["role"] == F.col("speaker")) & (t["role"] != SYSTEM)).alias("own")))
-    views = views.select("conv_id", "speaker", "part", said.alias("said"))
+    # sizes only: where each part begins for each speaker, so that texts move once
+    sums = own.groupBy("c", "part", "role").agg(F.count("*").alias("n"), F.sum(F.length("body") + len(END)).alias("chars"))
+    speakers = sums.where(F.col("role") != SYSTEM).select("c", F.col("role").alias("speaker")).distinct()
+    sizes = sums.join(speakers, "c").groupBy("c", "speaker", "part").agg(F.sum(F.col("chars") + F.col("n") * F.length(head(F.col("role")))).alias("size"))
+    before = Window.partitionBy("c", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("part_start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    views = sizes.groupBy("c", "part").agg(F.collect_list(F.struct("speaker", "part_start")).alias("views"))
+    parts = own.groupBy("c", "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "body"))).alias("turns"))
+    views = parts.join(views, ["c", "part"]).select("conv_id", "part", "turns", F.explode("views").alias("v")).select("conv_id", "part", "turns", "v.speaker", "v.part_start")
+
+    said = F.transform("turns", lambda t: F.struct(head(t["role"]).alias("head"), F.concat(t["body"], F.lit(END)).alias("body"), ((t["role"] == F.col("speaker")) & (t["role"] != SYSTEM)).alias("own")))
+    views = views.select("conv_id", "speaker", "part", "part_start", said.alias("said"))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("spans"), F.lit(0).cast("long").alias("chars"))
 
     def step(acc, t):
@@ -44,12 +54,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         spans = F.when(t["own"], F.array_append(acc["spans"], F.concat_ws(":", start, end))).otherwise(acc["spans"])
         return F.struct((end + 1).alias("at"), spans.alias("spans"), F.when(t["own"], acc["chars"] + end - start).otherwise(acc["chars"]).alias("chars"))
 
-    views = views.select("conv_id", "speaker", "part", F.size("said").cast("long").alias("n_turns"), F.array_join(F.transform("said", lambda t: F.concat(t["head"], t["body"])), "").alias("text"), F.aggregate("said", zero, step).alias("m"))
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return views.select(
-        "conv_id", "speaker", "part", F.coalesce(F.sum("m.at").over(before), F.lit(0)).cast("long").alias("part_start"), "n_turns", "text",
-        F.array_join("m.spans", ",").alias("mask"), F.col("m.chars").alias("mask_chars"),
-    )
+    views = views.select("conv_id", "speaker", "part", "part_start", F.size("said").cast("long").alias("n_turns"), F.array_join(F.transform("said", lambda t: F.concat(t["head"], t["body"])), "").alias("text"), F.aggregate("said", zero, step).alias("m"))
+    return views.select("conv_id", "speaker", "part", "part_start", "n_turns", "text", F.array_join("m.spans", ",").alias("mask"), F.col("m.chars").alias("mask_chars"))
 
 
 ORACLE = f"""
