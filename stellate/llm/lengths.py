@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, vocabulary
+from stellate.llm.common import bounded_batches, checkpointed, vocabulary
 
 BIN = 256
 
@@ -45,6 +45,7 @@ def histogram(docs: DataFrame, vocabulary_file: str = "byte_bpe_50k.tiktoken", t
 
 def with_suffix_sums(hist: DataFrame) -> DataFrame:
     """Adds, for the limit n_tokens: docs_at_least, tokens_at_least, docs_fit, share_fit (documents of n_tokens or fewer), tokens_truncated (of all, cut at the limit), tokens_total."""
+    hist = checkpointed(hist)  # a row a length, used twice
     own = hist.withColumn("bin", F.expr(f"n_tokens div {BIN}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     bins = own.groupBy("bin").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each BIN lengths
