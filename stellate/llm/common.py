@@ -55,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose id, null too, is (left_semi) or isn't (left_anti) among ids, a single column."""
+    name = "chosen"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    chosen = ids.toDF(name).distinct()
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen[name]), how)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

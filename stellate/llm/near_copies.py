@@ -13,7 +13,7 @@ takes an unbounded group.
 
 Defined cases: words are runs of letters, digits and all characters beyond ASCII, A-Z in lower case; a text
 of fewer than SHINGLE words is one shingle; null and empty texts have none, no links and a group of their own;
-rows of equal id are one document; an empty table gives an empty result; other columns are ignored.
+ids are integers, and rows of equal id are one document; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed
+from stellate.llm.common import bounded_batches, checkpointed, only
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
 TREES, DEPTH_MOST, RECALL = 16, 8, 0.9995
@@ -311,5 +311,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each class, that of the least id."""
-    leads = near_copies(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(leads, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return only(docs, near_copies(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col), id_col)

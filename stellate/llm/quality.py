@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed
+from stellate.llm.common import bounded_batches, checkpointed, only
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Limits of the two distances for long texts, and what they widen by at one word (falling with the root).
@@ -165,5 +165,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    verdicts = judge(docs, id_col, text_col, lang_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(verdicts, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    return only(docs, judge(docs, id_col, text_col, lang_col).where("kept").select(id_col), id_col)

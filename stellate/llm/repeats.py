@@ -265,13 +265,13 @@ def hot_marks(phrases_of: DataFrame) -> DataFrame:
 
 
 def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
-    """id, text, marks (intervals of bytes to remove; null: none) and a struct rest of the other columns of every row."""
+    """id, text, marks (intervals of bytes to remove; null: none) and a struct rest of the id and the other columns (c0, c1, ...) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     lowest = F.lit(-(1 << 63)).cast("long")
     own = docs.select(
         F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.pmod(F.xxhash64(text_col), F.lit(65536)).alias("tie"), F.col(text_col).alias("text"),
-        F.struct(F.col(id_col).alias("id"), *others).alias("rest"),
+        F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"),
     )
     cut_up = own.select("doc", "tie", "text").mapInArrow(cut, "trigger long, context long, doc long, pack long")
     found_at, schema = scratch(spark, "repeats"), "doc long, tie long, low long, high long, before long, trigger long"
@@ -342,4 +342,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
 
     out = marked.mapInArrow(strip, marked.select("rest", "text").schema)
-    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col("rest.id").alias(id_col) if c == id_col else F.col("rest")[c].alias(c) for c in docs.columns])
+    return out.select(*[F.col("text").alias(text_col) if c == text_col else F.col("rest.id").alias(id_col) if c == id_col else F.col("rest")[f"c{others.index(c)}"].alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import checkpointed
+from stellate.llm.common import checkpointed, only
 from stellate.llm.urls import LOWER, UPPER
 
 #: with_hashes builds just these lengths.
@@ -117,8 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without a benchmark passage, with all their columns."""
-    hit = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+    return only(docs, contamination(docs, items, id_col, text_col).where("contaminated").select(id_col), id_col, "left_anti")
 
 
 ORACLE = r"""
