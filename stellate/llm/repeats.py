@@ -270,7 +270,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(spark)
     lowest = F.lit(-(1 << 63)).cast("long")
     own = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.pmod(F.xxhash64(text_col), F.lit(65536)).alias("tie"), F.col(text_col).alias("text"),
+        F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.coalesce(F.pmod(F.xxhash64(text_col), F.lit(65536)), F.lit(0)).alias("tie"), F.col(text_col).alias("text"),
         F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"),
     )
     cut_up = own.select("doc", "tie", "text").mapInArrow(cut, "trigger long, context long, doc long, pack long")
@@ -279,7 +279,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = spark.read.schema(schema).parquet(found_at)
 
     places = found.where("trigger <> 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high", "before", "trigger")).alias("places"))
-    phrases_of = own.join(places, ["doc", "tie"]).select("doc", "tie", "text", "places")
+    # rest isn't needed here; with it this shuffle of the texts is the one of the last join, and is done once
+    phrases_of = own.join(places, ["doc", "tie"]).select("doc", "tie", "text", "places", "rest")
     phrases_of = phrases_of.mapInArrow(contexts, "trigger long, doc long, tie long, low long, before long, what binary")
     counts = found.where("trigger <> 0").groupBy("trigger").count().where(F.col("count") > hot).select("trigger")
     marks = found.where("trigger = 0").select("doc", "tie", "low", "high")
