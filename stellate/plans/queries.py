@@ -16,9 +16,9 @@ from stellate.functions import vectors as V
 from stellate.functions.filters import all_of, any_of, compile_filter, field
 from stellate.functions.hashing import fnv1a64
 from stellate.operators import ann, knn, profile
-from stellate.sources.collection import Collection, Config, Database, latest, upserted
-from stellate.sources.columnar import ColumnarWriter, read_columns, row_index_stats
-from stellate.sources.storage import VersionedTable
+from stellate.sources.collection import Collection, Config, Database, duplicate_ids, latest, upserted, validated, with_new_ids
+from stellate.sources.columnar import ColumnarWriter, lookup, read_columns, row_index_stats, table_of
+from stellate.sources.storage import FORMAT_VERSION, VersionedTable, compatible
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,7 +167,8 @@ def _(spark, d):
     return n.select("id", F.round(V.magnitude("n"), 6).alias("norm"), F.round(V.element("n", 0), 6).alias("first"))
 
 
-@query("id_hash")
+@query("id_hash", """SELECT doc_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM (SELECT doc_id,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM documents)""")
 def _(spark, d):
     return read(spark, d, "documents").select("doc_id", fnv1a64(F.col("doc_id").cast("string")).alias("hash"))
 
@@ -394,3 +395,177 @@ def _(spark, d):
 def _(spark, d):
     w = Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
     return read(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 3").select("event_type", "event_id")
+
+
+# Collections as wholes, and what guards them
+
+@query("collection_names", "SELECT name FROM (VALUES ('a'), ('c')) t(name)")
+def _(spark, d):
+    db = Database(spark, work_folder(spark), Config(dimension=64))
+    for name in ("c", "a", "b"):
+        db.collection(name)
+    db.drop("b")
+    return spark.createDataFrame([(n,) for n in db.collections()], "name string")
+
+
+@query("collection_sql", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+def _(spark, d):
+    return spark.sql(f"SELECT label, count(*) AS n FROM {collection(spark, d).view()} GROUP BY 1")
+
+
+@query("collection_find", "SELECT vec_id::VARCHAR AS id, label FROM embeddings WHERE label >= 3 AND (label < 5 OR label = 9)")
+def _(spark, d):
+    return collection(spark, d).find(all_of(field("label", "gte", 3), any_of(field("label", "lt", 5), field("label", "eq", 9)))).select("id", "label")
+
+
+@query("invalid_documents", "SELECT CASE WHEN vec_id % 7 = 0 THEN '' ELSE vec_id::VARCHAR END AS id, least(64, 60 + label)::INTEGER AS n FROM embeddings WHERE vec_id % 7 = 0 OR label < 4")
+def _(spark, d):
+    docs = corpus(spark, d).select(F.when(F.col("id") % 7 == 0, "").otherwise(F.col("id").cast("string")).alias("id"), F.slice("vector", F.lit(1), F.col("label").cast("int") + 60).alias("vector"))
+    return docs.where(~validated(docs, 64)).select("id", F.size("vector").alias("n"))
+
+
+@query("duplicate_ids", "SELECT user_id AS id FROM events GROUP BY 1 HAVING count(*) > 1 OR user_id IN (SELECT c_custkey FROM customer)")
+def _(spark, d):
+    return duplicate_ids(read(spark, d, "events").select(F.col("user_id").alias("id")), read(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@query("new_ids", "SELECT count(*) AS ids, 36 AS least, 36 AS most FROM documents")
+def _(spark, d):
+    return with_new_ids(read(spark, d, "documents").select("doc_id")).agg(F.count_distinct("id").alias("ids"), F.min(F.length("id")).alias("least"), F.max(F.length("id")).alias("most"))
+
+
+@query("delete_one", "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE vec_id <> 7")
+def _(spark, d):
+    c = collection(spark, d)
+    c.delete("7")
+    return c.docs().select("id")
+
+
+@query("compact", "SELECT vec_id::VARCHAR AS id, CASE WHEN label = 1 THEN 100 ELSE label END AS label, 1 AS versions, 2 AS deleted FROM embeddings WHERE label <> 2")
+def _(spark, d):
+    c = collection(spark, d)
+    c.save()
+    c.upsert(corpus(spark, d).where("label = 1").withColumn("label", F.col("label") + 99))
+    c.save()
+    c.delete_batch(c.docs().where("label = 2").select("id"))
+    deleted = c.compact()
+    return c.docs().select("id", "label", F.lit(c.storage_stats()["versions"]).alias("versions"), F.lit(deleted).alias("deleted"))
+
+
+def thinned(spark: SparkSession, d: str) -> Collection:
+    """An indexed collection whose documents of one label have been deleted since."""
+    c = collection(spark, d)
+    c.save()
+    c.build_index()
+    c.delete_batch(c.docs().where("label = 3").select("id"))
+    c.save()
+    return c
+
+
+@query("orphans", "SELECT vec_id::VARCHAR AS id FROM embeddings WHERE label = 3")
+def _(spark, d):
+    return thinned(spark, d).orphans()
+
+
+@query("search_with_orphans", f"SELECT vec_id AS query_id, least({K}, (SELECT count(*) FROM embeddings WHERE label <> 3)) AS hits, 0::BIGINT AS orphans FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    found = thinned(spark, d).search_index(asked(spark, d), K)
+    labels = corpus(spark, d).select(F.col("id").cast("string").alias("id"), "label")
+    return found.join(labels, "id").groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("label") == 3).alias("orphans"))
+
+
+@query("filter_json_mismatch", "SELECT event_id FROM events WHERE props->>'$.k' IS NOT NULL")
+def _(spark, d):
+    events = read(spark, d, "events")  # a number is unequal to any text, and neither above nor below it
+    condition = all_of(field("k", "ne", "5"), any_of(field("k", "gt", "5"), field("k", "lte", "5"), field("k", "ne", "x")))
+    return events.where(compile_filter(condition, events.schema, json="props")).select("event_id")
+
+
+# Vectors and neighbours, composed
+
+@query("cosine_zero_norm", "SELECT vec_id AS id, 1.0::DOUBLE AS left_zero, 1.0::DOUBLE AS both_zero FROM embeddings")
+def _(spark, d):
+    zero = F.transform("vector", lambda x: F.lit(0.0))
+    return corpus(spark, d).select("id", V.cosine_distance(zero, "vector").alias("left_zero"), V.cosine_distance(zero, zero).alias("both_zero"))
+
+
+HITS = f"(SELECT query_id, id, rank FROM ({knn_sql('l2')}))"
+
+
+@query("knn_in_degree", f"SELECT id, count(*) AS degree, min(rank) AS nearest FROM {HITS} GROUP BY 1")
+def _(spark, d):
+    return knn.search_batch(corpus(spark, d), asked(spark, d), K).groupBy("id").agg(F.count("*").alias("degree"), F.min("rank").alias("nearest"))
+
+
+@query("knn_label_vote", f"""SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS n
+    FROM (SELECT query_id, label, count(*) AS votes FROM {HITS} h JOIN embeddings e ON e.vec_id = h.id GROUP BY 1, 2)) WHERE n = 1""")
+def _(spark, d):
+    votes = knn.search_batch(corpus(spark, d), asked(spark, d), K).join(corpus(spark, d).select("id", "label"), "id").groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+    best = votes.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("votes"), "label")))
+    return best.where("n = 1").drop("n")
+
+
+@query("recall_of_exact", "SELECT 1.0::DOUBLE AS recall")
+def _(spark, d):
+    exact = knn.search_batch(corpus(spark, d), asked(spark, d), K)
+    return knn.recall(exact, exact)
+
+
+DIMENSIONS, EXPECTED = (64, 128, 129, 512, 768, 1024, 1536), (100, 10_000, 30_000, 50_000, 60_000, 1_000_000, 100_000_000)
+GROWN = "CASE WHEN n > 10000 THEN floor(200 + {slope} * log10(n / 10000)) ELSE 200 END"
+
+
+@query("index_parameters", f"""SELECT dimension, n, CASE WHEN dimension <= 128 THEN 16 WHEN dimension <= 512 THEN 24 WHEN dimension <= 1024 THEN 32 ELSE 48 END AS m,
+    least(800, floor(CASE WHEN dimension > 512 THEN 1.5 ELSE 1 END * CASE WHEN n > 50000 THEN floor(({GROWN.format(slope=200)}) * 1.3::DOUBLE) ELSE {GROWN.format(slope=200)} END))::INTEGER AS ef_construction,
+    least(800, floor(CASE WHEN dimension > 512 THEN 1.5 ELSE 1 END * ({GROWN.format(slope=100)})))::INTEGER AS alternate_ef,
+    least(1000, greatest(20, floor(20 * (1 + 0.5 * log10(n / 1000 + 1)))))::INTEGER AS query_ef
+    FROM (SELECT unnest({list(DIMENSIONS)}) AS dimension), (SELECT unnest({list(EXPECTED)}) AS n)""")
+def _(spark, d):
+    rows = [(a, n, *ann.adaptive_parameters(a, n), ann.alternate_parameters(a, n)[1], ann.query_ef(K, n)) for a in DIMENSIONS for n in EXPECTED]
+    return spark.createDataFrame(rows, "dimension int, n int, m int, ef_construction int, alternate_ef int, query_ef int")
+
+
+# Files and formats
+
+@query("format_compatibility", f"SELECT major, minor, major = {FORMAT_VERSION[0]} AND minor <= {FORMAT_VERSION[1]} AS readable FROM (SELECT unnest(range(0, 4))::INTEGER AS major), (SELECT unnest(range(0, 5))::INTEGER AS minor)")
+def _(spark, d):
+    return spark.createDataFrame([(a, b, compatible(FORMAT_VERSION, (a, b))) for a in range(4) for b in range(5)], "major int, minor int, readable boolean")
+
+
+@query("row_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7")
+def _(spark, d):
+    path, rows = work_folder(spark), read(spark, d, "lineitem")
+    ColumnarWriter(path, rows.schema, keyed="l_orderkey").write(rows)
+    return lookup(read_columns(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"]), "l_orderkey", 7)
+
+
+@query("joined_batches", "SELECT event_id, value FROM events")
+def _(spark, d):
+    events = read(spark, d, "events").select("event_id", "value")
+    return table_of([events.where(F.col("event_id") % 3 == i) for i in range(3)])
+
+
+# Profiles, compared and checked
+
+@query("profile_sizes", " UNION ALL ".join(f"SELECT '{c}' AS column_name, (sum(CASE typeof({c}) WHEN 'INTEGER' THEN 4 ELSE 8 END))::BIGINT AS data_size FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_linenumber")))
+def _(spark, d):
+    return profile.profile(lines(spark, d), ["l_orderkey", "l_partkey", "l_linenumber"]).select("column_name", "data_size")
+
+
+@query("profile_run_ratio", " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} IS DISTINCT FROM p) AS run_count, round(count(*) FILTER ({c} IS DISTINCT FROM p) / count(*), 9) AS run_ratio, true AS ok
+    FROM (SELECT {c}, lag({c}) OVER (ORDER BY l_orderkey::BIGINT * 8 + l_linenumber) AS p FROM lineitem)""" for c in ("l_orderkey", "l_linenumber")))
+def _(spark, d):
+    checked = profile.valid(profile.profile(lines(spark, d), ["l_orderkey", "l_linenumber"], order="row"))
+    return checked.select("column_name", "run_count", F.round("run_ratio", 9).alias("run_ratio"), "ok")
+
+
+@query("profile_sketched", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS num_values, count(*) - count({c}) AS null_count, true AS close FROM lineitem" for c in PROFILED))
+def _(spark, d):
+    exact = profile.profile(lines(spark, d), PROFILED).select("column_name", F.col("cardinality").alias("exact"))
+    close = (F.col("cardinality") >= 0.8 * F.col("exact")) & (F.col("cardinality") <= 1.2 * F.col("exact"))
+    return profile.profile_approx(lines(spark, d), PROFILED).join(exact, "column_name").select("column_name", "num_values", "null_count", close.alias("close"))
+
+
+@query("float_advice")
+def _(spark, d):
+    return profile.byte_entropy(read(spark, d, "events"), "value").agg(F.avg("entropy").alias("average_entropy")).withColumn("encoding", profile.float_encoding("average_entropy"))

@@ -49,6 +49,12 @@ def validated(docs: DataFrame, dimension: int) -> Column:
     return F.coalesce((F.length("id") > 0) & (F.size("vector") == dimension) & ~F.exists("vector", lambda x: x.isNull()), F.lit(False))
 
 
+def duplicate_ids(docs: DataFrame, there: DataFrame) -> DataFrame:
+    """Ids that docs has more than once, or that are there already."""
+    twice = docs.groupBy("id").count().where("count > 1").select("id")
+    return twice.unionByName(docs.select("id").join(there.select("id"), "id", "left_semi")).distinct()
+
+
 def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: last writer wins."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
@@ -96,9 +102,7 @@ class Collection:
     def insert(self, docs: DataFrame) -> None:
         """All or nothing: an id that is there, or twice in docs, is an error."""
         docs = self._ready(docs, "insert")
-        twice = docs.groupBy("id").count().where("count > 1").select("id")
-        there = docs.select("id").join(self.docs().select("id"), "id", "left_semi")
-        bad = twice.unionByName(there).head(1)
+        bad = duplicate_ids(docs, self.docs()).head(1)
         if bad:
             raise DuplicateIDError("insert", collection=self.name, document=bad[0]["id"])
         self._stage(self.docs().unionByName(docs, allowMissingColumns=True))
@@ -145,9 +149,12 @@ class Collection:
         docs = self.docs()
         r = docs.agg(F.count("*").alias("count"), F.max("ts").alias("last_update")).first()
         index = self.load_index(check=False)
-        nodes = index["nodes"] if index else None
-        orphans = nodes.join(docs.select("id"), "id", "left_anti").count() if nodes is not None else 0
-        return {"name": self.name, "count": r["count"], "dimension": self.config.dimension, "index_nodes": nodes.count() if nodes is not None else 0, "orphan_nodes": orphans, "last_update": r["last_update"]}
+        return {"name": self.name, "count": r["count"], "dimension": self.config.dimension, "index_nodes": index["nodes"].count() if index else 0, "orphan_nodes": self.orphans().count(), "last_update": r["last_update"]}
+
+    def orphans(self) -> DataFrame:
+        """Ids that the index has and the documents no longer have."""
+        index = self.load_index(check=False)
+        return index["nodes"].select("id").join(self.docs().select("id"), "id", "left_anti") if index else self.docs().select("id").limit(0)
 
     def storage_stats(self) -> dict:
         return {"documents": self.count(), "staged_changes": self.staged, "document_bytes": self.files.bytes_under(f"{self.path}/documents"), "index_bytes": self.files.bytes_under(f"{self.path}/index"), "versions": len(self.table.versions())}
@@ -197,6 +204,12 @@ class Collection:
         self._docs, self.staged = self.table.read(), 0
         return version
 
+    def compact(self) -> int:
+        """Saves what is staged and deletes earlier versions, whose readers must be done; returns how many."""
+        if self.staged:
+            self.save()
+        return self.table.vacuum()
+
     def close(self) -> None:
         if not self.closed:
             if self.staged:
