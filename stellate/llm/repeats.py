@@ -12,7 +12,8 @@ strings of a pair all but the first in corpus order (id, then place) are marked.
 phrases are cut, never whether strings are equal, save for phrases of equal trigger and context, which are
 told apart by two hashes of 64 bits.
 
-A hot trigger is thinned before the shuffle: within a task only the first of equal phrases goes on.
+A hot trigger is thinned before the shuffle: within a task only the first of equal phrases goes on. After it,
+phrases are sorted by Spark, which spills, and read as a stream, so that no trigger is held in memory.
 
 Defined cases: a null text is empty; ids are integers, null first; of rows of equal id the order is that of a
 hash of the text, and identical rows are one occurrence, with the same result each; an empty table gives an
@@ -158,29 +159,38 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All phrases of a trigger -> doc, tie, low, high, before, trigger: marks (trigger 0) and, of triggers with several phrases, each one's first place."""
-    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-    if not parts:
-        return
-    trigger, context, doc, pack = (np.concatenate(c) for c in zip(*parts))
-    del parts
-    tie, place, before, count = unpacked(pack)
-
-    def rows(at, high, of=0):
-        return doc[at], tie[at], place[at], high, before[at], np.zeros(len(at), np.int64) + of
-
-    marks, keep = np.flatnonzero(count == 0), np.flatnonzero(count)
-    out = [rows(marks, context[marks])]
-    order, again = repeated_rows([trigger[keep], context[keep]], doc[keep], pack[keep].view(np.uint64))
-    lose, first = keep[order[again]], keep[order[~again]]
-    out.append(rows(lose, (place + count + LENGTH - 1)[lose]))
-    if len(first):
-        t, c = trigger[first], context[first]
-        first = first[np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]]  # identical rows are one occurrence
-        same = trigger[first][1:] == trigger[first][:-1]
-        first = first[np.r_[False, same] | np.r_[same, False]]
-        out.append(rows(first, (place + count)[first], np.where(trigger[first] == 0, 1, trigger[first])))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc", "tie", "low", "high", "before", "trigger"])
+    """Phrases sorted by trigger, context and corpus order -> doc, tie, low, high, before, trigger: marks (trigger 0) and, of triggers with several phrases, each one's first place.
+
+    Batch by batch: all that is kept of a trigger, however many phrases it has, is the first place of its last phrase.
+    """
+    last = [np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64)]  # trigger, context, doc and pack of that place
+    waits = False  # it is its trigger's only phrase so far, and so isn't given out yet
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        trigger, context, doc, pack = columns
+        tie, place, _, count = unpacked(pack)
+        marks, keep = np.flatnonzero(count == 0), np.flatnonzero(count)
+        out = [(doc[marks], tie[marks], place[marks], context[marks], 0 * place[marks], 0 * place[marks])]
+        if len(keep):
+            carried = len(last[0])
+            trigger, context, doc, pack = (np.r_[x, c[keep]] for x, c in zip(last, columns))
+            tie, place, before, count = unpacked(pack)
+            fresh = np.r_[True, (trigger[1:] != trigger[:-1]) | (context[1:] != context[:-1])]
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
+            lose = np.flatnonzero((doc != doc[begin]) | (pack != pack[begin]))  # identical rows are one occurrence
+            none = 0 * lose
+            out.append((doc[lose], tie[lose], place[lose], (place + count + LENGTH - 1)[lose], none, none))
+            first = np.flatnonzero(fresh)
+            same = trigger[first][1:] == trigger[first][:-1]
+            several = np.r_[False, same] | np.r_[same, False]
+            if carried:
+                several[0] &= waits
+            give = first[several]
+            out.append((doc[give], tie[give], place[give], (place + count)[give], before[give], np.where(trigger[give] == 0, 1, trigger[give])))
+            # only a phrase that stands alone in its trigger waits; one that was carried over after being given out doesn't wait again
+            waits = bool(waits and not several[0]) if carried and len(first) == 1 else not (len(same) and same[-1])
+            last = [c[first[-1:]] for c in (trigger, context, doc, pack)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc", "tie", "low", "high", "before", "trigger"])
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +285,8 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     cut_up = own.select("doc", "tie", "text").mapInArrow(cut, "trigger long, context long, doc long, pack long")
     found_at, schema = scratch(spark, "repeats"), "doc long, tie long, low long, high long, before long, trigger long"
-    cut_up.repartition("trigger").mapInArrow(match, schema).write.parquet(found_at)
+    in_order = ["trigger", "context", "doc", F.shiftrightunsigned("pack", 48), "pack"]
+    cut_up.repartition("trigger").sortWithinPartitions(*in_order).mapInArrow(match, schema).write.parquet(found_at)
     found = spark.read.schema(schema).parquet(found_at)
 
     places = found.where("trigger <> 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("low", "high", "before", "trigger")).alias("places"))

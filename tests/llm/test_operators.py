@@ -268,6 +268,39 @@ def test_repeats(spark, docs, none, hot):
         assert repeats.find_repeats(none).collect() == []
 
 
+def test_match_reads_a_stream():
+    """Batches of any size give the same places: those of equal phrases but the first, and the first of each phrase where a trigger has several."""
+    rng = random.Random(8)
+    for _ in range(60):
+        rows = []
+        for _ in range(rng.randint(0, 40)):
+            phrase, mark = rng.randint(0, 3), rng.random() < 0.1
+            pack = repeats.packed(*(np.array([x]) for x in (rng.choice([3, 40_000]), rng.randint(0, 5), 0 if mark else phrase, 0 if mark else phrase + 1)))
+            rows.append((rng.randint(0, 5), phrase, rng.randint(0, 4), int(pack[0])))
+        rows.sort(key=lambda r: (*r[:3], (r[3] & (1 << 64) - 1) >> 48, r[3]))
+        places, expected = defaultdict(lambda: defaultdict(set)), []
+        for trigger, context, doc, pack in rows:
+            tie, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
+            if count:
+                places[trigger][context].add((doc, tie, place, before, count))
+            else:
+                expected.append((doc, tie, place, context, 0, 0))
+        for trigger, phrases in places.items():
+            for at in phrases.values():
+                if len(phrases) > 1:
+                    d, t, p, b, n = min(at)
+                    expected.append((d, t, p, p + n, b, trigger or 1))
+        for trigger, context, doc, pack in rows:
+            tie, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
+            if count and (doc, tie, place, before, count) != min(places[trigger][context]):
+                expected.append((doc, tie, place, place + count + repeats.LENGTH - 1, 0, 0))
+        for size in (1, 3, 50):
+            cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+            batches = [repeats.pa.RecordBatch.from_arrays([repeats.pa.array([r[k] for r in part], repeats.pa.int64()) for k in range(4)], names=list("abcd")) for part in cut]
+            found = [r for b in repeats.match(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
+            assert sorted(found) == sorted(expected)
+
+
 def test_quality(spark, docs, none):
     def base(t):
         raw = t or ""
