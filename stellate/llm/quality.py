@@ -4,8 +4,12 @@ Two histograms of each document are compared with references of its language: cl
 shares of common words. The distance is Jensen-Shannon's (the root of the divergence in bits, 0 to 1). A
 language's references come from all its documents that pass the base rules: the median share of each class,
 which junk among them hardly moves, and the summed counts of the words. The words counted are the fixed
-lists below, those of all languages for every document. Small samples stray from any reference, so a limit is widened by a
-term that falls with the root of the number of words, and a document shorter than MIN_WORDS, or of a
+lists below, those of all languages for every document. Small samples stray from any reference, so the limit of
+characters is widened by a term that falls with the root of the number of words. The limit of words comes from
+the documents of the language and of like length (a band of lengths up to twice the least): the distance times
+that root has the same median at all lengths, and its lower quartile tells the spread, so that junk, which is
+above the median, hardly moves the limit. Where a text as long is sure to hold common words, the limit is below
+the distance of a text without any, whatever the documents reach. A document shorter than MIN_WORDS, or of a
 language that has fewer than MIN_REFERENCE words in all, isn't judged by divergence.
 
 Defined cases: a null text has no words, and so fails the base rules; a null language is one of its own;
@@ -26,9 +30,13 @@ from pyspark.sql import functions as F
 from stellate.llm.common import bounded_batches, checkpointed, only
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Limits of the two distances for long texts, and what they widen by at one word (falling with the root).
+#: Limit of the characters' distance for long texts, and what it widens by at one word (falling with the root).
 CHARS_LIMIT, CHARS_SLACK = 0.10, 0.2
-WORDS_LIMIT, WORDS_SLACK = 0.45, 1.5
+#: Limit of the words' distance times the root of n_words: so many times median less lower quartile above the median of a band, of the
+#: language where a band has fewer than MIN_BAND documents, and DEFAULT where that has, too; the least such limit, and the least of the distance.
+WORDS_SPREADS, MIN_BAND, WORDS_DEFAULT, WORDS_LEAST, WORDS_FLOOR = 8, 30, 4.0, 2.0, 0.15
+#: A text that should hold EXPECTED common words may reach this share of the distance of a text without any.
+EXPECTED, WITHOUT_SHARE = 10, 0.95
 MIN_REFERENCE = 1_000
 #: Languages whose references (a KB each) are broadcast; keys that a language is spread over beyond.
 BROADCAST_MOST, SALTS = 2_000, 64
@@ -89,11 +97,17 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, sum(kl) / 2)))
 
 
-def divergence_failed(n_words: int, chars: np.ndarray, words: np.ndarray, ref_chars: np.ndarray, ref_words: np.ndarray) -> bool:
-    if n_words < MIN_WORDS or ref_words.sum() < MIN_REFERENCE:
-        return False
-    slack = 1 / np.sqrt(n_words)
-    return jensen_shannon(chars, ref_chars) > CHARS_LIMIT + CHARS_SLACK * slack or jensen_shannon(words, ref_words) > min(0.95, WORDS_LIMIT + WORDS_SLACK * slack)
+def chars_failed(n_words: int, chars: np.ndarray, ref_chars: np.ndarray) -> bool:
+    return jensen_shannon(chars, ref_chars) > CHARS_LIMIT + CHARS_SLACK / np.sqrt(n_words)
+
+
+def words_most(n_words: int, ref_words: np.ndarray) -> float | None:
+    """What the words' distance may reach at most, by that of a text without a common word; None if such a text can be clean."""
+    if n_words * (1 - ref_words[-1] / ref_words.sum()) < EXPECTED:
+        return None
+    without = np.zeros(len(ref_words))
+    without[-1] = 1
+    return WITHOUT_SHARE * jensen_shannon(without, ref_words)
 
 
 STATS = "id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
@@ -144,25 +158,51 @@ def with_references(stats: DataFrame, refs: DataFrame, broadcast_most: int = BRO
     return stats.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"], "left").drop("salt")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, the base counts, base_failed and kept of every row."""
+def word_limits(measured: DataFrame) -> DataFrame:
+    """lang, limits: for each band of lengths (-1: all) with MIN_BAND documents or more, what the words' distance times the root of n_words may reach."""
+    scaled = measured.where("not base_failed and distance is not null").select("lang", F.explode(F.array("band", F.lit(-1))).alias("band"), F.round(F.col("distance") * F.sqrt("n_words"), 2).alias("z"))
+    q = scaled.groupBy("lang", "band").agg(F.count("*").alias("n"), F.percentile("z", [0.25, 0.5]).alias("q")).where(F.col("n") >= MIN_BAND)
+    limit = F.greatest(F.lit(WORDS_LEAST), F.col("q")[1] + WORDS_SPREADS * (F.col("q")[1] - F.col("q")[0]))
+    return q.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("band", limit))).alias("limits"))
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """lang, the base counts, base_failed, chars_failed, distance of words (null: not judged), most (null: no bound) and band of every row."""
     stats = checkpointed(document_stats(docs, id_col, text_col, lang_col))
-    kind = dict(stats.dtypes)["id"]
     joined = with_references(stats, checkpointed(references(stats)))
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, repeated = batch.column(1).to_pylist(), batch.column(5).to_pylist()
-            chars, words, ref_chars, ref_words = (batch.column(i).to_numpy(zero_copy_only=False) for i in (6, 7, 8, 9))
-            failed = [base_failed(a, b) for a, b in zip(n, repeated)]
-            kept = [not f and not divergence_failed(a, *hists) for f, a, *hists in zip(failed, n, chars, words, ref_chars, ref_words)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
-
-    return joined.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words").mapInArrow(
-        decide, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+            n, repeated = batch.column(2).to_pylist(), batch.column(6).to_pylist()
+            hists = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (7, 8, 9, 10)))
+            rows, bounds = [], {}
+            for a, b, (chars, words, ref_chars, ref_words) in zip(n, repeated, hists):
+                if base_failed(a, b) or ref_words is None or ref_words.sum() < MIN_REFERENCE:
+                    rows.append((base_failed(a, b), False, None, None, None))
+                    continue
+                key = a, ref_words.tobytes()
+                if key not in bounds:
+                    bounds[key] = words_most(a, ref_words)
+                rows.append((False, chars_failed(a, chars, ref_chars), jensen_shannon(words, ref_words), bounds[key], (a // MIN_WORDS).bit_length() - 1))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(7)], *map(pa.array, cols, kinds)], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_failed", "distance", "most", "band"])
+
+    return joined.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words").mapInArrow(
+        distances, f"id {dict(stats.dtypes)['id']}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_failed boolean, distance double, most double, band int"
     )
 
 
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, the base counts, base_failed and kept of every row."""
+    measured = checkpointed(measure(docs, id_col, text_col, lang_col))
+    joined = with_references(measured, checkpointed(word_limits(measured)))
+    scaled = F.coalesce(F.try_element_at("limits", F.col("band")), F.try_element_at("limits", F.lit(-1)), F.lit(WORDS_DEFAULT))
+    limit = F.least("most", F.greatest(F.lit(WORDS_FLOOR), scaled / F.sqrt("n_words")))  # least: of those that aren't null
+    kept = ~F.col("base_failed") & ~F.col("chars_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
+    return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+
+
 def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     return only(docs, judge(docs, id_col, text_col, lang_col).where("kept").select(id_col), id_col)

@@ -327,6 +327,19 @@ def test_quality(spark, docs, none):
     assert quality.jensen_shannon(np.array([1, 0]), np.array([0, 1])) == 1.0 and quality.jensen_shannon(np.array([2, 2]), np.array([1, 1])) == 0.0
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(6)
+    foreign = {w: x for w, x in zip("the of and to in".split(), "der die und den zu".split())}
+    n = [round(50 * 1.03**i) for i in range(120)]
+    clean = [prose(rng, k) for k in n] * 2
+    soup = [" ".join([w for w in prose(rng, 3 * k).split() if w not in foreign][:k]) for k in n[::10]]
+    other = [" ".join(foreign.get(w, w) for w in prose(rng, k).split()) for k in n[::10]]
+    few = [(1000 + i, prose(rng, 100), "few") for i in range(12)] + [(1100, soup[7], "few")]
+    made = [(i, t, "en") for i, t in enumerate(clean + soup + other)] + few + [(1200, soup[7], "none")]
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(made, "doc_id long, text string, lang string")).where("kept").collect()}
+    assert kept == {*range(len(clean)), *range(1000, 1012), 1200}
+
+
 def test_only_takes_null_ids_and_clashing_names(docs):
     assert only(docs, docs.where("doc_id is null").select("doc_id"), "doc_id").count() == 1
     assert only(docs, docs.where("doc_id is null").select("doc_id"), "doc_id", "left_anti").count() == docs.count() - 1
