@@ -194,10 +194,14 @@ def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, tie, text, places -> trigger, doc, tie, low, before, what (each phrase with its context)."""
+    """doc, tie, text, places -> trigger, doc, tie, low, before, what (each phrase with its context); of identical rows that follow one another only the first's."""
+    last = None
     for batch in batches:
         rows = []
         for doc, tie, text, places in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if last == (doc, tie, text):
+                continue
+            last = doc, tie, text
             raw = text.encode() if text else b""
             rows += [(p["trigger"], doc, tie, p["low"], p["before"], raw[p["low"] : p["high"] + LENGTH - 1]) for p in places]
         cols = list(zip(*rows)) if rows else [()] * 6
@@ -228,6 +232,8 @@ def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trigger, doc, tie, low, before, what = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((low, tie, doc, trigger))
     trigger, doc, tie, low, before, what = (c[order] for c in (trigger, doc, tie, low, before, what))
+    fresh = np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in (trigger, doc, tie, low, what)])]  # identical rows are one occurrence
+    trigger, doc, tie, low, before, what = (c[fresh] for c in (trigger, doc, tie, low, before, what))
     cuts = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
     at = 0
     while at < len(cuts):  # whole triggers, some RANKED phrases at a time

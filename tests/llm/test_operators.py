@@ -268,6 +268,31 @@ def test_repeats(spark, docs, none, hot):
         assert repeats.find_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats_of_identical_rows(spark, hot):
+    rng = random.Random(5)
+    shared = prose(rng, 60)
+    pairs = [(i, prose(rng, 30) + shared[rng.randrange(50) :] + prose(rng, 30)) for i in range(12)]
+    copied = pairs + [pairs[0]] * 2 + pairs[5:7]
+    found = repeats.find_repeats(spark.createDataFrame(copied, "doc_id long, text string").repartition(3), hot=hot).collect()
+    expected = repeated(pairs)
+    assert sorted(tuple(r) for r in found) == sorted((i, *expected[i]) for i, _ in copied) and expected[0][1] == 0 < expected[5][1]
+
+
+def test_rank_takes_identical_rows_from_several_batches():
+    rng = random.Random(7)
+    gram, tail = bytes(range(32)), bytes(rng.randrange(256) for _ in range(68))
+    made = [(5, 1, 0, 40, 8, bytes(8) + gram + tail), (5, 2, 0, 40, 8, b"x" * 8 + gram + tail)]
+
+    def batch(rows):
+        cols = list(zip(*rows))
+        kinds = [repeats.pa.int64()] * 5 + [repeats.pa.binary()]
+        return repeats.pa.RecordBatch.from_arrays([repeats.pa.array(c, k) for c, k in zip(cols, kinds)], names=list("abcdef"))
+
+    marks = [tuple(r.values()) for b in repeats.rank(iter([batch(made), batch(made[:1]), batch(made)])) for r in b.to_pylist()]
+    assert marks == [(2, 0, 48, 148)]
+
+
 def test_match_reads_a_stream():
     """Batches of any size give the same places: those of equal phrases but the first, and the first of each phrase where a trigger has several."""
     rng = random.Random(8)
