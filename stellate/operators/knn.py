@@ -9,6 +9,8 @@ Ties are ordered by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +90,13 @@ def top_k(scored: DataFrame, k: int, query_col: str, id_col: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def blocks(asked: DataFrame) -> Iterator[list]:
+    """The rows of asked, QUERIES_MOST at a time."""
+    rows = iter(asked.toLocalIterator())
+    while block := list(islice(rows, QUERIES_MOST)):
+        yield block
+
+
 def search_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric = "l2", id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector_col: str = "vector", where=None, json: str | None = None) -> DataFrame:
     """query_col, id_col, distance and rank of the k nearest rows of every query."""
     _checked(k)
@@ -98,12 +107,12 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
     schema = f"`{query_col}` {types[1]}, `{id_col}` {types[0]}, distance double"
     asked = queries.select(query_col, F.col(query_vector_col).cast("array<double>").alias("__q"))
     if not isinstance(metric, str):
-        # any expression: corpus parts against a broadcast block of queries of bounded size
-        head = asked.limit(QUERIES_MOST + 1)
-        if head.count() > QUERIES_MOST:
-            raise ValueError(f"custom metrics take {QUERIES_MOST} queries at a time")
-        pairs = rows.join(F.broadcast(head), F.lit(True))
-        return top_k(pairs.select(query_col, id_col, distance(metric, F.col("__v"), F.col("__q")).alias("distance")), k, query_col, id_col)
+        # any expression: corpus parts against broadcast blocks of queries of bounded size
+        def scored(block: list) -> DataFrame:
+            pairs = rows.join(F.broadcast(spark.createDataFrame(block, asked.schema)), F.lit(True))
+            return pairs.select(query_col, id_col, distance(metric, F.col("__v"), F.col("__q")).alias("distance"))
+
+        return top_k(reduce(DataFrame.unionByName, [scored(block) for block in blocks(asked)] or [scored([])]), k, query_col, id_col)
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
 
@@ -128,16 +137,10 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
 
         return rows.mapInArrow(run, schema)
 
-    out, block = None, []
-    for r in asked.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERIES_MOST:
-            out, block = (ranked(block) if out is None else out.unionByName(ranked(block))), []
-    if block:
-        out = ranked(block) if out is None else out.unionByName(ranked(block))
-    if out is None:
+    parts = [ranked(block) for block in blocks(asked)]
+    if not parts:
         return spark.createDataFrame([], schema + ", rank int")
-    return top_k(out, k, query_col, id_col)
+    return top_k(reduce(DataFrame.unionByName, parts), k, query_col, id_col)
 
 
 def recall(found: DataFrame, truth: DataFrame, query_col: str = "query_id", id_col: str = "id") -> DataFrame:

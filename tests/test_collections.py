@@ -144,6 +144,21 @@ def test_knn(spark):
     assert knn.latency_percentiles([3, 1, 2])["p50"] == 2 and knn.latency_percentiles([]) == {}
 
 
+def test_knn_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))], "id long, vector array<float>")
+    asked = corpus.where("id % 6 = 0").select(F.col("id").alias("query_id"), "vector")
+    asked = asked.unionByName(asked.where("id = 0"))
+    for metric in ("l2", lambda a, b: 2 * V.l2_squared(a, b)):
+        whole = knn.search_batch(corpus, asked, 7, metric).select("query_id", "id", "rank").collect()
+        assert len(whole) == 70
+        for most in (3, 10, 11):
+            monkeypatch.setattr(knn, "QUERIES_MOST", most)
+            assert sorted(knn.search_batch(corpus, asked, 7, metric).select("query_id", "id", "rank").collect()) == sorted(whole)
+        assert knn.search_batch(corpus, asked.limit(0), 5, metric).count() == 0
+        monkeypatch.undo()
+
+
 def test_index(spark, tmp_path):
     rng = np.random.default_rng(42)
     db = Database(spark, str(tmp_path), Config(dimension=16, shards=3))
