@@ -65,6 +65,13 @@ def test_word_encoder_is_the_tokenizer():
         assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_composes_before_it_folds():
+    encoder = sstable.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [c + mark for c, mark in zip("HTWYJ", "\u0331\u0308\u030a\u030a\u030c")]
+    for text in (*words, " ".join(words), "Ab" + "Cd".join(words), "É T THE"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_shard_lookup():
     entries = [(sstable.key_of(i), bytes(2 * (i % 5 + 1))) for i in range(-500, 500, 2)] + [(sstable.key_of(500), b"ab"), (sstable.key_of(500), b"cd")]
     shard = sstable.in_memory(entries, 2, block_bytes=128)
