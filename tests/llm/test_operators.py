@@ -115,7 +115,7 @@ def test_perspectives(spark):
 
 def test_toxicity(spark, docs, none):
     rng, made = random.Random(5), []
-    for i in range(600):
+    for i in range(2_400):
         words = prose(rng, rng.randint(30, 120)).split()
         bad = i % 5 == 0
         for _ in range(3 * bad):
@@ -131,6 +131,50 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, labelled).collect() == []
 
 
+def test_toxicity_scores_are_those_of_the_compressor(spark, docs):
+    """Every window compressed by the library anew, and the logistic function written out; null, empty and long texts under a fitted model."""
+    import math
+
+    import zstandard as z
+
+    rng = random.Random(15)
+    made = [(i, prose(rng, 60) + " grolk vexnit zorbed" * (i % 4 == 0) + " " + prose(rng, 30)) for i in range(240)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in made] + [(4, 0), (4, None), (None, 1), (5, None), (9, 0), (9, 0)]
+    train = spark.createDataFrame([*made, made[3], (7, "another text of an id")], "doc_id long, text string")
+    model = toxicity.fit(train, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    header, common, toxic, weights = model
+    params = z.ZstdCompressionParameters(
+        window_log=20, chain_log=20, hash_log=20, search_log=8, min_match=3, target_length=256, strategy=z.STRATEGY_BTOPT, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    kind = z.DICT_TYPE_FULLDICT if header else z.DICT_TYPE_RAWCONTENT
+
+    def size(window, content):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(header + content, dict_type=kind), compression_params=params).compress(window))
+
+    def brute(text):
+        words = [w[k : k + 64] for w in re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split() for k in range(0, len(w), 64)]
+        parts = [b" " + b" ".join(words[k : k + 7]) + b" " for k in range(0, len(words), 7)]
+        gains = [size(p, common) - size(p, toxic + common) for p in parts] or [0]
+        hits = [sum(g >= c for g in gains) for c in (2, 3, 4)]
+        x = [math.log2(1 + n) for n in hits] + [min(1, 10 * n / len(gains)) for n in hits] + [sum(gains) / len(gains), min(10, max(gains)) / 8]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, weights)) + weights[-1])))
+
+    some = docs.where("length(text) < 4000 or text is null")
+    found = toxicity.scored(some.select("doc_id", "text"), model).join(some.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(found) >= 10 and any(not r["text"] for r in found)
+    for r in found:
+        assert r["predicted"] == (r["score"] >= 0.3) and (r["doc_id"] == 4 or abs(r["score"] - brute(r["text"])) < 1e-9)
+    assert toxicity.scored(docs, model).count() == docs.count() and sum(map(len, (common, toxic))) > 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, "x" * 100 + str(i)) for i in range(200)] + [(0, "a"), (500, "y" * 30_000), (501, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(502)] * 2, "doc_id long, toxic int")
+    found, counts = toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 60, 2_000)
+    assert len({i for i, _, _ in found}) == len(found) and all(sum(len(t) for _, y, t in found if y == c) <= 2_000 and sum(y == c for _, y, _ in found) > 10 for c in (0, 1))
+    assert all(zlib.crc32(str(i).encode()) % 4 != 2 and i < 500 for i, _, _ in found) and sum(counts.values()) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(502))
+
+
 def links_of(pairs):
     sh = near_copies.Shingler()
     sets = {i: set(sh(t).tolist()) for i, t in pairs}
