@@ -10,15 +10,20 @@ import types
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
+#: Keys of 16 bytes that are broadcast at most.
+KEYS_BROADCAST = 500_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is set only if that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one is set only if that is unset and there are no other machines."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "stellate-shared")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -55,13 +60,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose id, null too, is (left_semi) or isn't (left_anti) among ids, a single column."""
-    name = "chosen"
+def text_key(text_col: str) -> Column:
+    """128 bits that tell a text: a struct of two hashes."""
+    return F.struct(F.xxhash64(F.col(text_col)).alias("a"), F.xxhash64(F.lit(1), F.col(text_col)).alias("b"))
+
+
+def of_other_texts(docs: DataFrame, keys: DataFrame, key: Column, broadcast_most: int = KEYS_BROADCAST) -> DataFrame:
+    """The rows of docs whose key isn't among keys (a column key); few keys are broadcast, many joined by shuffle."""
+    name = "key"
     while name.lower() in (c.lower() for c in docs.columns):
         name += "_"
-    chosen = ids.toDF(name).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen[name]), how)
+    found = few(keys.select(F.col("key").alias(name)).distinct(), broadcast_most)
+    return docs.join(found, key == found[name], "left_anti")
+
+
+def few(df: DataFrame, most: int = KEYS_BROADCAST) -> DataFrame:
+    """df, of narrow rows, to be broadcast in a join if it has few rows; else it is joined by shuffle."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,10 +1,15 @@
 """Documents that share shingles: a Jaccard join by a MinHash LSH forest.
 
 A document is the set of its runs of SHINGLE words. Documents of equal sets are one node. Every node has a
-signature of DEPTH_MOST minimum hashes in each of TREES prefix tries; nodes are candidates where they meet in
-a trie. Meeting starts at full depth, and prefixes are shortened level by level until pairs of the
-threshold's similarity meet in some trie with a probability of RECALL or more. Candidates are then compared
-exactly, each pair in the first trie it meets in.
+signature of DEPTH_MOST minimum hashes in each of TREES prefix tries, and is a candidate of those that it
+meets in a trie. Tries are kept as sorted signatures, where nodes of a common prefix stand side by side:
+first in each chunk of nodes, whose members that meet are joined on the spot, then across chunks, to which
+a chunk sends each prefix once, so that no prefix, however common, brings all its nodes to one task.
+
+Nodes meet at full depth first. Candidates are compared exactly, and from the similarities of the links found,
+each weighted by how likely that depth finds such a link, follows how many links there are, and so what share
+any depth would find. While that share is below RECALL, prefixes are shortened to the longest that should
+reach it, and only the pairs that meet there anew are compared.
 
 Pairs are never rows. Nodes that candidates connect form a work unit, to which each node's set goes once,
 and which gives each node its number of links and its group. A unit beyond UNIT_NODES or UNIT_SHINGLES is
@@ -12,8 +17,11 @@ cut up by trie and prefix, and a prefix beyond that into pairs of blocks, so not
 takes an unbounded group.
 
 Defined cases: words are runs of letters, digits and all characters beyond ASCII, A-Z in lower case; a text
-of fewer than SHINGLE words is one shingle; null and empty texts have none, no links and a group of their own;
-ids are integers, and rows of equal id are one document; an empty table gives an empty result; other columns are ignored.
+of fewer than SHINGLE words is one shingle; null and empty texts have none, no links and a group of their own.
+Each row is a document, whatever its id: rows of equal or null id are told apart by their text, and identical
+rows are copies of each other. A class is named by its least id, null only where all its ids are; a row
+without words by its own id. Ids may be of any type that has an order; an empty table gives an empty result;
+other columns are ignored by the join and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -23,23 +31,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed, only
+from stellate.llm.common import bounded_batches, checkpointed, few
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
 TREES, DEPTH_MOST, RECALL = 16, 8, 0.9995
 UNIT_NODES, UNIT_SHINGLES = 4_000, 6_000_000
+#: Nodes of a chunk; shingles that are signed at once; bins of similarities from the threshold to 1.
+CHUNK_NODES, SIGNED, BINS = 200_000, 50_000, 20
+#: A set of more copies than this, and than the SHARE-th part of all rows (so there are fewer than SHARE such sets), is joined by broadcast.
+COPIES, SHARE = 10_000, 100_000
 WORDS_KEPT = 1_000_000
 #: Lower case for A-Z, a space for every other ASCII character that is no letter or digit.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def depth_for(recall: float = RECALL, trees: int = TREES, similarity: float = NUMERATOR / DENOMINATOR) -> int:
-    """The longest prefix that finds pairs of a similarity with the recall asked for."""
-    depth = DEPTH_MOST
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+def found_share(similarity: float | np.ndarray, depth: int, trees: int = TREES):
+    """Probability that a pair of a similarity meets in a trie at a depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def next_depth(links: np.ndarray, depth: int, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix, of depth at most, that should find the share recall of all links; links: how many were found at depth, by bin of similarity.
+
+    Without links to tell by it is the one that finds pairs of the least similarity so surely.
+    """
+    least = NUMERATOR / DENOMINATOR
+    bins = least + (1 - least) * np.arange(len(links)) / len(links)  # lower ends
+    there = links / found_share(bins, depth, trees) if links.sum() else np.eye(1, len(links))[0]
+    while depth > 1 and (there * found_share(bins, depth, trees)).sum() < recall * there.sum():
         depth -= 1
     return depth
 
@@ -84,15 +106,24 @@ def factors(trees: int) -> np.ndarray:
     return mixed(np.arange(1, trees * DEPTH_MOST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def prefixes(shingles: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Hash of the prefix in each trie."""
-    lows = []
-    for f in factors(trees).reshape(trees, DEPTH_MOST)[:, :depth].ravel():
-        lows.append((shingles * f ^ f >> np.uint64(7)).min())
-    lows = np.array(lows, np.uint64).reshape(trees, depth)
-    out = np.zeros(trees, np.uint64)
+def signatures(sets: list[np.ndarray], trees: int) -> np.ndarray:
+    """Signature of each set (none empty): DEPTH_MOST minimum hashes, of 16 bits each, for each trie."""
+    flat, starts = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+    out = np.empty((len(sets), trees * DEPTH_MOST), np.uint16)
+    for i, f in enumerate(factors(trees)):
+        out[:, i] = np.minimum.reduceat(flat * f ^ f >> np.uint64(7), starts) & np.uint64(0xFFFF)
+    return out.reshape(len(sets), trees, DEPTH_MOST)
+
+
+def signature_of(raw: list[bytes], trees: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), ">u2").reshape(len(raw), trees, DEPTH_MOST)
+
+
+def prefixes(signed: np.ndarray, depth: int) -> np.ndarray:
+    """A number for the prefix of each node (a line) in each trie (a column)."""
+    out = np.zeros(signed.shape[:2], np.uint64)
     for level in range(depth):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + lows[:, level])
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + signed[:, :, level] + np.uint64(1))
     return out.view(np.int64)
 
 
@@ -138,12 +169,18 @@ class Groups:
         self.up[max(i, j)] = min(i, j)
 
 
-def link(sets: list[np.ndarray], keys: np.ndarray, copies: np.ndarray, tries: list[int], block: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
-    """Links of each set (weighted by copies) and its group's first member, over pairs that meet first in one of tries.
+def link(sets: list[np.ndarray], keys: np.ndarray, done: np.ndarray | None, copies: np.ndarray, tries: list[int], block: np.ndarray | None = None) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Links of each set (weighted by copies), its group's first member, and links by bin of similarity, over pairs that meet first in one of tries.
 
-    block: only pairs of members of different blocks, where given.
+    done: longer prefixes, whose pairs have been compared before; block: only pairs of members of different blocks.
     """
-    sizes, links, groups = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64), Groups(len(sets))
+    sizes, links, groups, bins = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64), Groups(len(sets)), np.zeros(BINS, np.int64)
+
+    def count(common, a, b):
+        least = NUMERATOR / DENOMINATOR
+        at = (common / (a + b - common) - least) / (1 - least) * BINS
+        np.add.at(bins, np.clip(np.asarray(at).astype(int), 0, BINS - 1), 1)
+
     for t in tries:
         order = np.argsort(keys[:, t], kind="stable")
         cuts = np.flatnonzero(np.diff(keys[order, t])) + 1
@@ -155,20 +192,28 @@ def link(sets: list[np.ndarray], keys: np.ndarray, copies: np.ndarray, tries: li
             for earlier in range(t):
                 k = keys[bucket, earlier]
                 new &= k[:, None] != k[None, :]
+            for k in done[bucket].T if done is not None and new.any() else ():
+                new &= k[:, None] != k[None, :]
             if block is not None:
                 new &= block[bucket][:, None] != block[bucket][None, :]
             pairs = np.argwhere(new) if new.any() else ()
             if not len(pairs):
                 continue
             if len(pairs) <= 4 * len(bucket):
-                found = [(i, j) for i, j in pairs.tolist() if similar(len(np.intersect1d(sets[bucket[i]], sets[bucket[j]], assume_unique=True)), sizes[bucket[i]], sizes[bucket[j]])]
-                for i, j in found:
-                    links[bucket[i]] += copies[bucket[j]]
-                    links[bucket[j]] += copies[bucket[i]]
-                    groups.join(int(bucket[i]), int(bucket[j]))
+                for i, j in pairs.tolist():
+                    i, j = bucket[i], bucket[j]
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if similar(common, sizes[i], sizes[j]):
+                        links[i] += copies[j]
+                        links[j] += copies[i]
+                        groups.join(int(i), int(j))
+                        count(common, sizes[i], sizes[j])
                 continue
             own = [sets[i] for i in bucket]
-            good = new & similar(common_counts(own, own), sizes[bucket][:, None], sizes[bucket][None, :])
+            common = common_counts(own, own)
+            good = new & similar(common, sizes[bucket][:, None], sizes[bucket][None, :])
+            at = np.nonzero(good)
+            count(common[at], sizes[bucket][at[0]], sizes[bucket][at[1]])
             good |= good.T
             links[bucket] += good @ copies[bucket]
             left = good.any(axis=1)
@@ -183,28 +228,45 @@ def link(sets: list[np.ndarray], keys: np.ndarray, copies: np.ndarray, tries: li
                 for i in members[1:]:
                     groups.join(members[0], i)
                 left &= ~reached
-    return links, [groups.find(i) for i in range(len(sets))]
+    return links, [groups.find(i) for i in range(len(sets))], bins
+
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """128 bits that tell an id with a text."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("r1"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("r2")]
 
-def sign(docs: DataFrame, id_col: str, text_col: str, trees: int, depth: int) -> DataFrame:
-    """id, s1 and s2 (the set's key), n (its size), keys (of the prefixes)."""
+
+def sign(docs: DataFrame, id_col: str, text_col: str, trees: int) -> DataFrame:
+    """id, r1 and r2 (the row's key), s1 and s2 (the set's key), n (its size), signed (its signature; all of them null or 0 without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
+            n, s1, s2, signed = (np.zeros(batch.num_rows, np.int64) for _ in range(4))
+            signed, held, size = [None] * batch.num_rows, {}, 0
+
+            def flush():
+                if held:
+                    for i, row in zip(held, signatures(list(held.values()), trees)):
+                        signed[i] = row.astype(">u2").tobytes()
+
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 s = shingles(text)
-                rows.append((*set_key(s), len(s), prefixes(s, trees, depth)) if len(s) else (0, 0, 0, ()))
-            s1, s2, n, keys = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (s1, s2, n)], pa.array(keys, pa.list_(pa.int64()))], names=["id", "s1", "s2", "n", "keys"])
+                if len(s):
+                    n[i], (s1[i], s2[i]), held[i] = len(s), set_key(s), s
+                    size += len(s)
+                    if size >= SIGNED:
+                        flush()
+                        held, size = {}, 0
+            flush()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, (s1, s2, n)), pa.array(signed, pa.binary())], names=["id", "r1", "r2", "s1", "s2", "n", "signed"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, s1 long, s2 long, n long, keys array<long>")
+    own = docs.select(F.col(id_col).alias("id"), *row_key(id_col, text_col), F.col(text_col).alias("t"))
+    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, r1 long, r2 long, s1 long, s2 long, n long, signed binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, group (its least node) of the nodes of edges (a, b), by alternating large and small stars."""
+    """node, group (its least node) of the nodes of edges (a, b), by alternating large and small stars; checkpointed."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -221,65 +283,120 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("group")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("group")).distinct())
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, unit_nodes: int = UNIT_NODES, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
-    """id, class_id (least id of those it is linked to directly or by way of others), copy_id (least id of an equal set), n_links (other documents of the threshold's similarity or more)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    depth = depth_for(recall, trees)
-    base = checkpointed(sign(docs, id_col, text_col, trees, depth))
-    nodes = checkpointed(base.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    met = nodes.select("rep", "n", F.posexplode("keys").alias("trie", "key"))
-    buckets = met.groupBy("trie", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("nodes"), F.sum("n").alias("shingles")).where("nodes > 1")
-    edges = met.join(buckets.select("trie", "key", "lead"), ["trie", "key"]).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    group_of = checkpointed(components(edges))
-
-    members = nodes.join(group_of.withColumnRenamed("node", "rep"), "rep")
-    sizes = members.groupBy("group").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+def met(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
+    """node, root: the group of each node among those of its chunk, and what connects groups, as edges (a, b), in one table: a, b, edge.
+
+    In each chunk the signatures are sorted trie by trie, and neighbours of a common prefix are joined. A prefix
+    goes on to the other chunks once, with the root of its nodes.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist()))
+            n += batch.num_rows
+            if n >= CHUNK_NODES:
+                yield from tries_of(held)
+                held, n = [], 0
+        if n:
+            yield from tries_of(held)
+
+    def tries_of(held) -> Iterator[pa.RecordBatch]:
+        node = np.concatenate([h[0] for h in held])
+        keys = prefixes(signature_of([x for h in held for x in h[1]], trees), depth)
+        groups, firsts = Groups(len(node)), []
+        for t in range(trees):
+            order = np.argsort(keys[:, t], kind="stable")
+            same = np.r_[False, keys[order[1:], t] == keys[order[:-1], t]]
+            for i in np.flatnonzero(same).tolist():
+                groups.join(int(order[i - 1]), int(order[i]))
+            firsts.append(order[~same])
+        root = np.array([groups.find(i) for i in range(len(node))])
+        yield as_batch([node], [node[root]], [np.full(len(node), -1)])
+        for t, at in enumerate(firsts):
+            yield as_batch([node[root[at]]], [keys[at, t]], [np.full(len(at), t)])
+
+    def as_batch(*cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["a", "b", "trie"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, key, lead = None, None, None
+        for batch in batches:
+            edges = set()
+            for t, k, root in zip(*[c.to_pylist() for c in batch.columns]):
+                if (t, k) != (trie, key):
+                    trie, key, lead = t, k, root
+                elif root != lead:
+                    edges.add((root, lead))
+            a, b = zip(*edges) if edges else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    first = checkpointed(nodes.select("node", "signed").mapInArrow(chunks, "a long, b long, trie long"))
+    shared = first.where("trie >= 0").select("trie", F.col("b").alias("key"), F.col("a").alias("root"))
+    edges = components(shared.repartition("trie", "key").sortWithinPartitions("trie", "key", "root").mapInArrow(across, "a long, b long"))
+    own = first.where("trie < 0").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    moved = edges.select(F.col("node").alias("root"), "group")
+    return own.join(few(moved), "root", "left").select("node", F.coalesce("group", "root").alias("group"))
+
+
+def compared(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, trees: int, depth: int, before: int | None, unit_nodes: int, unit_shingles: int) -> DataFrame:
+    """node, links, lead: of the pairs that meet at depth, but not at the depth before; node below 0: links by bin of similarity (-1 - bin)."""
+    group_of = checkpointed(met(nodes, trees, depth))
+    sizes = checkpointed(group_of.join(nodes.select("node", "n"), "node").groupBy("group").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).where("nodes > 1"))
     large = (F.col("nodes") > unit_nodes) | (F.col("shingles") > unit_shingles)
-    members = members.join(sizes.withColumn("large", large).select("group", "large"), "group")
+    members = group_of.join(few(sizes.select("group", large.alias("large"))), "group").join(nodes.select("node", "r1", "r2", "copies", "signed"), "node")
     whole = F.array(F.struct(F.concat(F.lit("g"), F.col("group").cast("string")).alias("unit"), F.lit(-1).alias("trie"), F.lit(0).alias("block"), F.lit(False).alias("across")))
     has_large = not sizes.where(large).isEmpty()
     if has_large:
         # each prefix of such a group; blocks of half a unit, and pairs of blocks
+        members = checkpointed(members)
+        prefix = F.expr(f"substring(signed, {2 * DEPTH_MOST} * trie + 1, {2 * depth})").alias("key")
+        exploded = members.where("large").select("node", "signed", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("trie")).select("node", "trie", prefix)
+        exploded = exploded.join(nodes.select("node", "n"), "node")
+        parts = exploded.groupBy("trie", "key").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles")).where("nodes > 1")
         blocks = F.ceil(F.greatest(2 * F.col("nodes") / unit_nodes, 2 * F.col("shingles") / unit_shingles)).cast("int")
-        parts = buckets.withColumn("blocks", F.when(large, blocks).otherwise(1)).select("trie", "key", "blocks")
-        cut = members.where("large").select("rep", F.posexplode("keys").alias("trie", "key")).join(parts, ["trie", "key"])
-        cut = cut.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        name = F.concat_ws(":", F.lit("b"), "trie", "key")
+        parts = parts.withColumn("blocks", F.when(large, blocks).otherwise(1)).select("trie", "key", "blocks")
+        cut = exploded.select("node", "trie", "key").join(few(parts), ["trie", "key"])
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        name = F.concat_ws(":", F.lit("b"), "trie", F.hex("key"))
         cut = cut.withColumn("units", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
             F.concat_ws(":", name, F.least(o, F.col("block")).cast("string"), F.greatest(o, F.col("block")).cast("string")).alias("unit"),
             F.col("trie").cast("int").alias("trie"), F.col("block").alias("block"), (o != F.col("block")).alias("across"))))
-        units = cut.groupBy("rep").agg(F.flatten(F.collect_list("units")).alias("units"))
-        members = members.where("not large").withColumn("units", whole).drop("large", "group").unionByName(members.where("large").join(units, "rep").drop("large", "group"))
+        units = cut.groupBy("node").agg(F.flatten(F.collect_list("units")).alias("units"))
+        members = members.where("not large").withColumn("units", whole).drop("large", "group").unionByName(members.where("large").join(units, "node").drop("large", "group"))
     else:
         members = members.withColumn("units", whole).drop("large", "group")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
+        shingles, last = Shingler(), None
         for batch in batches:
             own, good = [], []
-            for text, s1, s2 in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)]):
-                s = shingles(text)
-                good.append(bool(len(s)) and set_key(s) == (s1, s2))  # else another row of the same id
-                own.append(s.tobytes())
-            out = pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(own, pa.binary())], names=["rep", "copies", "keys", "units", "own"])
+            for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                good.append(node != last)  # identical rows follow one another; the rest is found when units are read
+                own.append(shingles(text).tobytes() if node != last else b"")
+                last = node
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.binary())], names=["node", "copies", "signed", "units", "own"])
             yield out.filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("t")).join(members, "rep").select("t", "s1", "s2", "rep", "copies", "keys", "units")
-    unit_type = "array<struct<unit:string,trie:int,block:int,across:boolean>>"
-    kind = dict(base.dtypes)["id"]
-    dealt = texts.mapInArrow(sets, f"rep {kind}, copies long, keys array<long>, units {unit_type}, own binary")
-    dealt = dealt.select("rep", "copies", "keys", "own", F.explode("units").alias("u")).select("u.unit", "u.trie", "u.block", "u.across", "rep", "copies", "keys", "own")
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).join(members, ["r1", "r2"]).select("t", "node", "copies", "signed", "units")
+    dealt = texts.mapInArrow(sets, "node long, copies long, signed binary, units array<struct<unit:string,trie:int,block:int,across:boolean>>, own binary")
+    dealt = dealt.select("node", "copies", "signed", "own", F.explode("units").alias("u")).select("u.unit", "u.trie", "u.block", "u.across", "node", "copies", "signed", "own")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = np.zeros(BINS, np.int64)
+
         def done(rows):
-            rows = list({r[4]: r for r in rows}.values())
-            rows.sort(key=lambda r: r[4])
-            reps = [r[4] for r in rows]
+            rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: r[4])
             if len(rows) > 1:
-                trie, across = rows[0][1], rows[0][3]
-                links, lead = link([np.frombuffer(r[7], np.uint64) for r in rows], np.array([r[6] for r in rows]), np.array([r[5] for r in rows]), list(range(trees)) if trie < 0 else [trie], np.array([r[2] for r in rows]) if across else None)
-                found.extend((rep, int(n), reps[i]) for rep, n, i in zip(reps, links, lead) if n)
+                node, (_, trie, _, across) = [r[4] for r in rows], rows[0][:4]
+                signed = signature_of([r[6] for r in rows], trees)
+                earlier = prefixes(signed, before) if before else None
+                links, lead, more = link(
+                    [np.frombuffer(r[7], np.uint64) for r in rows], prefixes(signed, depth), earlier, np.array([r[5] for r in rows]),
+                    list(range(trees)) if trie < 0 else [trie], np.array([r[2] for r in rows]) if across else None,
+                )
+                bins[:] += more
+                found.extend((x, int(n), node[i]) for x, n, i in zip(node, links, lead) if n)
 
         held, found = [], []
         for batch in batches:
@@ -293,22 +410,62 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = []
         if held:
             done(held)
-        yield as_batch(found)
+        yield as_batch(found + [(-1 - i, int(n), 0) for i, n in enumerate(bins) if n])
 
     def as_batch(found):
         cols = list(zip(*found)) if found else [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["rep", "links", "lead"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "links", "lead"])
 
-    found = dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "rep long, links long, lead long")
-    if has_large:
-        found = checkpointed(found)
-        classes = components(found.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-        found = found.groupBy("rep").agg(F.sum("links").alias("links")).join(classes.select(F.col("node").alias("rep"), F.col("group").alias("lead")), "rep")
-    of_set = nodes.join(found, "rep", "left").select("s1", "s2", "rep", F.coalesce("lead", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = base.select("id", "s1", "s2", "n").join(of_set, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("rep", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return checkpointed(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(verify, "node long, links long, lead long"))
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, trees: int, recall: float, unit_nodes: int, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of each set: s1, s2, copies, copy_id, class_id, n_links, and at (r1 and r2 of the row that its class keeps)."""
+    bounded_batches(docs.sparkSession)
+    base = checkpointed(sign(docs, id_col, text_col, trees))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r1", "r2")).alias("first")
+    nodes = base.where("n > 0").groupBy("s1", "s2").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signed").alias("signed"))
+    nodes = checkpointed(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "first", "first.r1", "first.r2", "copies", "n", "signed"))
+    depth, before, found = DEPTH_MOST, None, []
+    while True:
+        found.append(compared(docs, nodes, id_col, text_col, trees, depth, before, unit_nodes, unit_shingles))
+        bins = np.zeros(BINS, np.int64)
+        for part in found:
+            for r in part.where("node < 0").groupBy("node").agg(F.sum("links").alias("n")).collect():  # a row a bin
+                bins[-1 - r["node"]] += r["n"]
+        shorter = next_depth(bins, depth, trees, recall)
+        if shorter == depth:
+            break
+        depth, before = shorter, depth
+    links = found[0]
+    for part in found[1:]:
+        links = links.unionByName(part)
+    links = links.where("node >= 0")
+    group = components(links.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    per = links.groupBy("node").agg(F.sum("links").alias("links"))
+    members = checkpointed(nodes.drop("signed", "n").join(per, "node", "left").join(group, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    leads = members.groupBy("group").agg(F.min("first").alias("lead"))
+    joined = members.join(leads, "group")
+    return base, joined.select("s1", "s2", "copies", F.col("first.id").alias("copy_id"), F.col("lead.id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.struct("lead.r1", "lead.r2").alias("at"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, recall: float = RECALL, unit_nodes: int = UNIT_NODES, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
+    """id, class_id (least id of those it is linked to directly or by way of others), copy_id (least id of an equal set), n_links (other rows of the threshold's similarity or more)."""
+    base, sets = classes(docs, id_col, text_col, trees, recall, unit_nodes, unit_shingles)
+    sets = checkpointed(sets.drop("at"))
+    hot = F.col("copies") > max(COPIES, base.count() // SHARE)
+    rows, alone = base.where("n > 0").select("id", "s1", "s2"), base.where("n = 0")
+    held = F.broadcast(sets.where(hot))  # fewer than SHARE rows
+    out = rows.join(held, ["s1", "s2"]).unionByName(rows.join(held.select("s1", "s2"), ["s1", "s2"], "left_anti").join(sets.where(~hot), ["s1", "s2"]))
+    out = out.select("id", "class_id", "copy_id", "n_links").unionByName(alone.select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_id"), F.lit(0).cast("long").alias("n_links")))
+    return out.withColumnRenamed("id", id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each class, that of the least id."""
-    return only(docs, near_copies(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col), id_col)
+    """One row of each class, that of the least id (null last), and all rows without words."""
+    base, sets = classes(docs, id_col, text_col, TREES, RECALL, UNIT_NODES, UNIT_SHINGLES)
+    stay = sets.select("at.r1", "at.r2", F.lit(True).alias("one")).distinct().unionByName(base.where("n = 0").select("r1", "r2", F.lit(False).alias("one")).distinct())
+    row = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *row_key(id_col, text_col))
+    same = Window.partitionBy("r1", "r2").orderBy("r1")  # identical in id and text; the join has put them side by side
+    kept = row.join(checkpointed(stay), ["r1", "r2"]).withColumn("k", F.row_number().over(same)).where("k = 1 or not one")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -12,9 +12,12 @@ above the median, hardly moves the limit. Where a text as long is sure to hold c
 the distance of a text without any, whatever the documents reach. A document shorter than MIN_WORDS, or of a
 language that has fewer than MIN_REFERENCE words in all, isn't judged by divergence.
 
+Each row carries its own judgement: rows of equal or null id are judged apart, and no join by id is made.
+The rows are written once with their counts, so that references and limits are taken from the counts alone.
+
 Defined cases: a null text has no words, and so fails the base rules; a null language is one of its own;
 repeated rows each have their row; an empty table gives an empty result; other columns are ignored by the
-query and kept by keep_documents.
+query and kept by keep_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed, only
+from stellate.llm.common import bounded_batches, checkpointed, scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Limit of the characters' distance for long texts, and what it widens by at one word (falling with the root).
@@ -49,16 +52,18 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero",
 }
 VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws.split()})
-#: Classes of bytes: lower case with digits and all beyond ASCII, upper case, white space, marks, symbols, control.
+#: Classes of characters: lower case with digits and all beyond ASCII, upper case, white space, marks, symbols, control.
 CLASSES = 6
 SYMBOLS = b"#*$%&|<>"
 
 
 def byte_classes() -> np.ndarray:
+    """Class of the character that a byte begins; CLASSES for bytes that go on with one, so that each character counts once."""
     out = np.full(256, 5, np.uint8)
-    letters = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256))
+    letters = b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(192, 256))
     for cls, members in enumerate((letters, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t\n\r\x0b\x0c", b".,;:!?'\"()-+=/@_[]{}~^`\\", SYMBOLS)):
         out[list(members)] = cls
+    out[128:192] = CLASSES
     return out
 
 
@@ -110,33 +115,54 @@ def words_most(n_words: int, ref_words: np.ndarray) -> float | None:
     return WITHOUT_SHARE * jensen_shannon(without, ref_words)
 
 
-STATS = "id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<int>, words array<int>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+STATS = pa.struct([*[(c, pa.int64()) for c in COUNTS], ("chars", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
+#: distance: of words (null: not judged); most: what it may reach at most (null: no bound).
+MEASURES = pa.struct([("base_failed", pa.bool_()), ("chars_failed", pa.bool_()), ("distance", pa.float64()), ("most", pa.float64()), ("band", pa.int32())])
+SQL_OF_STATS = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_repeat_words:long,chars:array<int>,words:array<int>>"
+SQL_OF_MEASURES = "struct<base_failed:boolean,chars_failed:boolean,distance:double,most:double,band:int>"
 
 
-def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and both histograms of every row; the last bin of words is all others."""
-    bounded_batches(docs.sparkSession)
+def counted(text: Column) -> Column:
+    """Counts and both histograms of a text; the last bin of words is all others."""
     fold = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
 
-    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classes, at = byte_classes(), {w.encode(): i for i, w in enumerate(VOCABULARY)}
-        for batch in batches:
+        for batch in texts:
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.to_pylist():
                 raw = text.encode() if text else b""
                 n, chars, symbols, dup, repeated, _ = text_counts(raw)
                 hist = [0] * (len(at) + 1)
                 for w, c in Counter(raw.translate(fold).split()).items():
                     hist[at.get(w, -1)] += c
-                rows.append((n, chars, symbols, dup, repeated, np.bincount(classes[np.frombuffer(raw, np.uint8)], minlength=CLASSES).astype(np.int32), hist))
+                rows.append((n, chars, symbols, dup, repeated, np.bincount(classes[np.frombuffer(raw, np.uint8)], minlength=CLASSES)[:CLASSES].astype(np.int32), hist))
             cols = list(zip(*rows)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(c, pa.list_(pa.int32())) for c in cols[5:]]],
-                names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"],
-            )
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, STATS)], fields=list(STATS))
+
+    return F.arrow_udf(count, SQL_OF_STATS)(text)
+
+
+def measured(*columns: str) -> Column:
+    """MEASURES of n_words, n_repeat_words, chars, words, ref_chars, ref_words."""
+
+    def measure(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows, bounds = [], {}
+            n, repeated = batch[0].to_pylist(), batch[1].to_pylist()
+            for a, b, chars, words, ref_chars, ref_words in zip(n, repeated, *(c.to_numpy(zero_copy_only=False) for c in batch[2:])):
+                if base_failed(a, b) or ref_words is None or ref_words.sum() < MIN_REFERENCE:
+                    rows.append((base_failed(a, b), False, None, None, None))
+                    continue
+                key = a, ref_words.tobytes()
+                if key not in bounds:
+                    bounds[key] = words_most(a, ref_words)
+                rows.append((False, chars_failed(a, chars, ref_chars), jensen_shannon(words, ref_words), bounds[key], (a // MIN_WORDS).bit_length() - 1))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MEASURES)], fields=list(MEASURES))
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"))
-    return own.mapInArrow(stats, STATS.format(kind=dict(own.dtypes)["id"]))
+    return F.arrow_udf(measure, SQL_OF_MEASURES)(*columns)
 
 
 def references(stats: DataFrame) -> DataFrame:
@@ -155,54 +181,41 @@ def with_references(stats: DataFrame, refs: DataFrame, broadcast_most: int = BRO
     if refs.count() <= broadcast_most:
         return stats.join(F.broadcast(refs), "lang", "left")
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return stats.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"], "left").drop("salt")
+    return stats.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(spread, ["lang", "salt"], "left").drop("salt")
 
 
-def word_limits(measured: DataFrame) -> DataFrame:
+def word_limits(measures: DataFrame) -> DataFrame:
     """lang, limits: for each band of lengths (-1: all) with MIN_BAND documents or more, what the words' distance times the root of n_words may reach."""
-    scaled = measured.where("not base_failed and distance is not null").select("lang", F.explode(F.array("band", F.lit(-1))).alias("band"), F.round(F.col("distance") * F.sqrt("n_words"), 2).alias("z"))
+    scaled = measures.where("not base_failed and distance is not null").select("lang", F.explode(F.array("band", F.lit(-1))).alias("band"), F.round(F.col("distance") * F.sqrt("n_words"), 2).alias("z"))
     q = scaled.groupBy("lang", "band").agg(F.count("*").alias("n"), F.percentile("z", [0.25, 0.5]).alias("q")).where(F.col("n") >= MIN_BAND)
     limit = F.greatest(F.lit(WORDS_LEAST), F.col("q")[1] + WORDS_SPREADS * (F.col("q")[1] - F.col("q")[0]))
     return q.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("band", limit))).alias("limits"))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, the base counts, base_failed, chars_failed, distance of words (null: not judged), most (null: no bound) and band of every row."""
-    stats = checkpointed(document_stats(docs, id_col, text_col, lang_col))
-    joined = with_references(stats, checkpointed(references(stats)))
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, repeated = batch.column(2).to_pylist(), batch.column(6).to_pylist()
-            hists = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (7, 8, 9, 10)))
-            rows, bounds = [], {}
-            for a, b, (chars, words, ref_chars, ref_words) in zip(n, repeated, hists):
-                if base_failed(a, b) or ref_words is None or ref_words.sum() < MIN_REFERENCE:
-                    rows.append((base_failed(a, b), False, None, None, None))
-                    continue
-                key = a, ref_words.tobytes()
-                if key not in bounds:
-                    bounds[key] = words_most(a, ref_words)
-                rows.append((False, chars_failed(a, chars, ref_chars), jensen_shannon(words, ref_words), bounds[key], (a // MIN_WORDS).bit_length() - 1))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.int32()
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(7)], *map(pa.array, cols, kinds)], names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_failed", "distance", "most", "band"])
-
-    return joined.select("id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words", "ref_chars", "ref_words").mapInArrow(
-        distances, f"id {dict(stats.dtypes)['id']}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_failed boolean, distance double, most double, band int"
-    )
+def judged(docs: DataFrame, columns: list[str], text_col: str, lang_col: str) -> DataFrame:
+    """row (a struct c0, c1, ... of the columns), the base counts, base_failed and kept of every row."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]) if columns else F.struct(F.lit(0).alias("c"))
+    path = scratch(spark, "quality")
+    own = docs.select(row.alias("row"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), counted(F.col(text_col)).alias("stats")).select("row", "lang", "stats.*")
+    own.write.parquet(path)
+    stats = spark.read.schema(own.schema).parquet(path)
+    refs = checkpointed(references(stats))
+    measures = with_references(stats, refs).withColumn("m", measured("n_words", "n_repeat_words", "chars", "words", "ref_chars", "ref_words")).select("row", "lang", *COUNTS, "m.*")
+    joined = with_references(measures, checkpointed(word_limits(measures.drop("row"))))
+    scaled = F.coalesce(F.try_element_at("limits", F.col("band")), F.try_element_at("limits", F.lit(-1)), F.lit(WORDS_DEFAULT))
+    limit = F.least("most", F.greatest(F.lit(WORDS_FLOOR), scaled / F.sqrt("n_words")))  # least: of those that aren't null
+    kept = ~F.col("base_failed") & ~F.col("chars_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
+    return joined.select("row", *COUNTS, "base_failed", kept.alias("kept"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, base_failed and kept of every row."""
-    measured = checkpointed(measure(docs, id_col, text_col, lang_col))
-    joined = with_references(measured, checkpointed(word_limits(measured)))
-    scaled = F.coalesce(F.try_element_at("limits", F.col("band")), F.try_element_at("limits", F.lit(-1)), F.lit(WORDS_DEFAULT))
-    limit = F.least("most", F.greatest(F.lit(WORDS_FLOOR), scaled / F.sqrt("n_words")))  # least: of those that aren't null
-    kept = ~F.col("base_failed") & ~F.col("chars_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
-    return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    return judged(docs, [id_col], text_col, lang_col).select(F.col("row.c0").alias(id_col), *COUNTS, "base_failed", "kept")
 
 
-def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    return only(docs, judge(docs, id_col, text_col, lang_col).where("kept").select(id_col), id_col)
+    kept = judged(docs, docs.columns, text_col, lang_col).where("kept")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

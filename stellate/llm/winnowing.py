@@ -8,7 +8,8 @@ so hash collisions add nothing. Items of fewer than WINDOW words are one window
 their first word instead.
 
 The fingerprints of the benchmark are part of the plan while there are LITERALS_MOST or fewer, and its
-windows are broadcast while there are WINDOWS_MOST or fewer; beyond, both are joined by shuffle.
+windows are broadcast while there are WINDOWS_MOST or fewer, of WINDOW_BYTES_MOST or less; beyond, both are
+joined by shuffle.
 
 Defined cases: null or empty texts have no words and no hits; null item ids read ``null``; items of equal id
 count once; repeated rows are kept, each with its own result; empty tables give empty or clean results;
@@ -20,14 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import checkpointed, only
+from stellate.llm.common import checkpointed, of_other_texts, text_key
 from stellate.llm.urls import LOWER, UPPER
 
 #: with_hashes builds just these lengths.
 GRAM, SPAN = 6, 5
 WINDOW = GRAM + SPAN - 1
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LITERALS_MOST, WINDOWS_MOST = 20_000, 200_000
+LITERALS_MOST, WINDOWS_MOST, WINDOW_BYTES_MOST = 20_000, 200_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -67,7 +68,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", literals_most: int = LITERALS_MOST, windows_most: int = WINDOWS_MOST) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated and items (their ids, sorted) of every row of docs."""
     windows = checkpointed(item_windows(items))
-    n_windows = windows.count()
+    n_windows, window_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window") + F.octet_length("item")), F.lit(0))).first()
     prints = with_hashes(items.select(words_of(F.col("text")).alias("words"))).select(F.explode("prints").alias("print")).distinct()
     short = windows.where(f"size(split(window, ' ')) < {WINDOW}").select(F.expr("size(split(window, ' '))").alias("size"), F.substring_index("window", " ", 1).alias("anchor")).distinct()
     n_short = short.count()
@@ -75,10 +76,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     literals = [r[0] for r in prints.limit(literals_most + 1).collect()]
     if len(literals) <= literals_most:
-        known = f"x -> x in ({', '.join(map(str, literals or [0]))})"
+        known = f"in ({', '.join(map(str, literals or [0]))})"
         work = with_hashes(base.select("rid", "id", words_of(F.col("text")).alias("words")))
-        work = work.withColumn("found", F.expr(f"filter(prints, {known})"))
+        work = work.withColumn("found", F.expr(f"filter(prints, x -> x {known})"))
+        is_found = f"hashes[i - 1] {known}"
     else:
+        is_found = "array_contains(found, hashes[i - 1])"
         base = checkpointed(base)
         one = with_hashes(base.select("rid", words_of(F.col("text")).alias("words"))).select("rid", F.explode("prints").alias("print"))
         found = one.join(prints, "print").groupBy("rid").agg(F.collect_set("print").alias("found"))
@@ -86,7 +89,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # starts of the windows that hold a gram found at i: from i - SPAN + 1 to i, where a whole window fits
     near = f"""case when size(found) > 0 and size(words) >= {WINDOW} then transform(array_distinct(flatten(transform(
-        filter(sequence(1, size(hashes)), i -> array_contains(found, hashes[i - 1])),
+        filter(sequence(1, size(hashes)), i -> {is_found}),
         i -> sequence(greatest(1, least(i, size(words) - {WINDOW - 1}) - {SPAN - 1}), least(i, size(words) - {WINDOW - 1}))))),
         i -> struct(i as at, {WINDOW} as size, {_joined(WINDOW)} as window)) end"""
     empty = "cast(array() as array<struct<at:int,size:int,window:string>>)"
@@ -102,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         places += [f"transform(filter(sequence(1, size(words)), i -> size(words) > 0 and i + {n - 1} <= size(words){also}), i -> struct(i as at, {n} as size, {_joined(n)} as window))" for n, also in anchors]
     work = work.select("rid", "id", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.expr(f"concat({', '.join(places)})")).alias("place"))
     work = work.select("rid", "id", "n_words", "place.at", "place.size", F.coalesce("place.window", F.concat(F.lit("\x01"), F.col("rid").cast("string"))).alias("window"))
-    joined = work.join(F.broadcast(windows) if n_windows <= windows_most else windows, "window", "left")
+    joined = work.join(F.broadcast(windows) if n_windows <= windows_most and window_bytes <= WINDOW_BYTES_MOST else windows, "window", "left")
     hit = F.col("item").isNotNull()
     per = joined.groupBy("rid").agg(
         F.first("id").alias(id_col), F.first("n_words").alias("n_words"),
@@ -115,9 +118,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without a benchmark passage, with all their columns."""
-    return only(docs, contamination(docs, items, id_col, text_col).where("contaminated").select(id_col), id_col, "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs without a benchmark passage, with all their columns.
+
+    What a row holds depends on its text alone, so the texts found are told by two hashes of theirs, whatever the ids.
+    """
+    key = text_key(text_col)
+    found = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), items, "key", "text").where("contaminated").select("key")
+    return of_other_texts(docs, found, key)
 
 
 ORACLE = r"""

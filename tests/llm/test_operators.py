@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 
 from stellate.llm import byte_bpe, lengths, near_copies, perspectives, quality, repeats, sstable, toxicity, urls, winnowing
-from stellate.llm.common import only
+from stellate.llm import common
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, rest string, id string, chosen string, c0 string"
@@ -176,23 +177,26 @@ def test_toxicity_sample_is_bounded(spark):
 
 
 def links_of(pairs):
+    """Class (least id, null last) and links of each row, by its place."""
     sh = near_copies.Shingler()
-    sets = {i: set(sh(t).tolist()) for i, t in pairs}
-    out = {}
-    up = {i: i for i in sets}
+    sets = [set(sh(t).tolist()) for _, t in pairs]
+    up, links = list(range(len(sets))), [0] * len(sets)
 
     def find(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    for i in sets:
-        near = [j for j in sets if j != i and sets[i] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
-        out[i] = len(near)
-        for j in near:
-            a, b = find(i), find(j)
-            up[max(a, b)] = min(a, b)
-    return {i: (find(i), out[i]) for i in sets}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if j != i and a and 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                links[i] += 1
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (id_, _) in enumerate(pairs):
+        if id_ is not None:
+            least[find(i)] = min(id_, least.get(find(i), id_))
+    return [(least.get(find(i)), links[i]) for i in range(len(sets))]
 
 
 @pytest.mark.parametrize("limits", [{}, {"unit_nodes": 4, "unit_shingles": 2000}])
@@ -207,19 +211,76 @@ def test_near_copies(spark, docs, none, limits):
     made += [prose(rng, 60) for _ in range(10)] + [None, "", "a b", "a b"]
     pairs = list(enumerate(made))
     found = near_copies.near_copies(spark.createDataFrame(pairs, "doc_id long, text string"), **limits).collect()
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == links_of(pairs)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == dict(enumerate(links_of(pairs)))
     if not limits:
         assert len(near_copies.near_copies(docs).collect()) == len(texts())
         kept = near_copies.keep_one(docs)
-        lead = {i for i, (first, _) in links_of(dict(p for p in texts() if p[0] is not None).items()).items() if first == i}
-        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {None, *lead} and not {4, 5} & lead
-        assert near_copies.near_copies(none).collect() == []
-
-
-def test_depth_is_the_longest_that_reaches_the_recall():
-    for trees, recall in ((16, 0.9995), (8, 0.99), (4, 0.999999)):
-        d = near_copies.depth_for(recall, trees)
+        lead = {c for c, _ in links_of(texts())}
+        assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(lead, key=str) and not {4, 5} & lead
+        assert near_copies.near_copies(none).collect() == [] and near_copies.keep_one(none).collect() == []
+
+
+def odd_rows(rng):
+    """Rows of equal and of null ids: copies, near copies and others, with identical rows among them."""
+    base = [prose(rng, 90) for _ in range(4)]
+    near = [b + " " + prose(rng, 3) for b in base]
+    rows = [(7, base[0]), (7, near[0]), (7, base[1]), (7, base[1]), (None, near[1]), (None, base[2]), (None, base[2]), (9, near[2]), (None, base[3]), (None, near[3]), (3, prose(rng, 50)), (None, None), (None, ""), (3, "")]
+    return [*rows, (12, near[0])]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_copies_of_odd_ids(spark, kind):
+    made = [(i if kind == "long" or i is None else f"id {i:03}", t) for i, t in odd_rows(random.Random(11))]
+    df = spark.createDataFrame(made, f"doc_id {kind}, text string")
+    expected = links_of(made)
+    alone = [not near_copies.Shingler()(t).size for _, t in made]
+    expected = [(i if lone else c, n) for (i, _), (c, n), lone in zip(made, expected, alone)]
+    found = near_copies.near_copies(df).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in found), key=str) == sorted(((i, c, n) for (i, _), (c, n) in zip(made, expected)), key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(df).collect()), key=str)
+    sh, groups = near_copies.Shingler(), []
+    for i, t in made:  # classes as lists of rows; those without words by themselves
+        own = set(sh(t).tolist())
+        near = [g for g in groups if own and any(9 * len(own & o) >= 4 * (len(own) + len(o)) for _, _, o in g)]
+        groups = [g for g in groups if all(g is not n for n in near)] + [[x for n in near for x in n] + [(i, t, own)]]
+    assert len(kept) == len(groups)
+    for g in groups:
+        mine = [r for r in kept if any(r == (i, t) for i, t, _ in g)]
+        ids = [i for i, _, _ in g if i is not None]
+        assert [r for r in mine if r[0] == (min(ids) if ids else None)]
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    for trees, recall in ((16, 0.9995), (8, 0.99), (4, 0.999999)):  # without links, the longest that finds the least similar pairs
+        d = near_copies.next_depth(np.zeros(20), 8, trees, recall)
         assert (d == 1 or 1 - (1 - 0.8**d) ** trees >= recall) and 1 - (1 - 0.8 ** (d + 1)) ** trees < recall
+    high, low = np.zeros(20), np.zeros(20)
+    high[19], low[0] = 1000, 1000
+    assert near_copies.next_depth(high, 8) == 8 and near_copies.next_depth(low, 8) == 4 and 4 < near_copies.next_depth(high + low / 100, 8) < 8
+
+
+def test_the_forest_finds_nine_links_in_ten_and_more(spark):
+    """Against all pairs of a table."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the driver's tables")
+    df = spark.read.parquet(path)
+    made = [(r["doc_id"], r["text"]) for r in df.collect()]
+    sh = near_copies.Shingler()
+    sets = [sh(t) for _, t in made]
+    sizes, owner = np.array([len(x) for x in sets]), defaultdict(list)
+    for i, x in enumerate(sets):
+        for v in x.tolist():
+            owner[v].append(i)
+    common = defaultdict(int)
+    for own in owner.values():
+        for k, i in enumerate(own):
+            for j in own[k + 1 :]:
+                common[i, j] += 1
+    links = sum(9 * n >= 4 * (sizes[i] + sizes[j]) for (i, j), n in common.items())
+    found = sum(r["n_links"] for r in near_copies.near_copies(df).collect()) // 2
+    assert links > 50 and 0.9 * links <= found <= links
+    assert found == links  # as measured: none is lost here
 
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -333,15 +394,15 @@ def test_repeats_of_identical_rows(spark, hot):
 def test_rank_takes_identical_rows_from_several_batches():
     rng = random.Random(7)
     gram, tail = bytes(range(32)), bytes(rng.randrange(256) for _ in range(68))
-    made = [(5, 1, 0, 40, 8, bytes(8) + gram + tail), (5, 2, 0, 40, 8, b"x" * 8 + gram + tail)]
+    made = [(5, 1, 0, 0, 40, 8, bytes(8) + gram + tail), (5, 2, 0, 0, 40, 8, b"x" * 8 + gram + tail)]
 
     def batch(rows):
         cols = list(zip(*rows))
-        kinds = [repeats.pa.int64()] * 5 + [repeats.pa.binary()]
-        return repeats.pa.RecordBatch.from_arrays([repeats.pa.array(c, k) for c, k in zip(cols, kinds)], names=list("abcdef"))
+        kinds = [repeats.pa.int64()] * 6 + [repeats.pa.binary()]
+        return repeats.pa.RecordBatch.from_arrays([repeats.pa.array(c, k) for c, k in zip(cols, kinds)], names=list("abcdefg"))
 
     marks = [tuple(r.values()) for b in repeats.rank(iter([batch(made), batch(made[:1]), batch(made)])) for r in b.to_pylist()]
-    assert marks == [(2, 0, 48, 148)]
+    assert marks == [(2, 0, 0, 48, 148)]
 
 
 def test_match_reads_a_stream():
@@ -352,31 +413,104 @@ def test_match_reads_a_stream():
         for _ in range(rng.randint(0, 40)):
             phrase, mark = rng.randint(0, 3), rng.random() < 0.1
             pack = repeats.packed(*(np.array([x]) for x in (rng.choice([3, 40_000]), rng.randint(0, 5), 0 if mark else phrase, 0 if mark else phrase + 1)))
-            rows.append((rng.randint(0, 5), phrase, rng.randint(0, 4), int(pack[0])))
-        rows.sort(key=lambda r: (*r[:3], (r[3] & (1 << 64) - 1) >> 48, r[3]))
+            rows.append((rng.randint(0, 5), phrase, rng.randint(0, 4), rng.choice([0, 8]), int(pack[0])))
+        rows.sort(key=lambda r: (*r[:4], (r[4] & (1 << 64) - 1) >> 48, r[4]))
         places, expected = defaultdict(lambda: defaultdict(set)), []
-        for trigger, context, doc, pack in rows:
-            tie, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
+        for trigger, context, doc, tie, pack in rows:
+            more, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
             if count:
-                places[trigger][context].add((doc, tie, place, before, count))
+                places[trigger][context].add((doc, tie, more, place, before, count))
             else:
-                expected.append((doc, tie, place, context, 0, 0))
+                expected.append((doc, tie, more, place, context, 0, 0))
         for trigger, phrases in places.items():
             for at in phrases.values():
                 if len(phrases) > 1:
-                    d, t, p, b, n = min(at)
-                    expected.append((d, t, p, p + n, b, trigger or 1))
-        for trigger, context, doc, pack in rows:
-            tie, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
-            if count and (doc, tie, place, before, count) != min(places[trigger][context]):
-                expected.append((doc, tie, place, place + count + repeats.LENGTH - 1, 0, 0))
+                    d, t, m, p, b, n = min(at)
+                    expected.append((d, t, m, p, p + n, b, trigger or 1))
+        for trigger, context, doc, tie, pack in rows:
+            more, place, before, count = (int(x[0]) for x in repeats.unpacked(np.array([pack])))
+            if count and (doc, tie, more, place, before, count) != min(places[trigger][context]):
+                expected.append((doc, tie, more, place, place + count + repeats.LENGTH - 1, 0, 0))
         for size in (1, 3, 50):
             cut = [rows[i : i + size] for i in range(0, len(rows), size)]
-            batches = [repeats.pa.RecordBatch.from_arrays([repeats.pa.array([r[k] for r in part], repeats.pa.int64()) for k in range(4)], names=list("abcd")) for part in cut]
+            batches = [repeats.pa.RecordBatch.from_arrays([repeats.pa.array([r[k] for r in part], repeats.pa.int64()) for k in range(5)], names=list("abcde")) for part in cut]
             found = [r for b in repeats.match(iter(batches)) for r in zip(*[c.to_pylist() for c in b.columns])]
             assert sorted(found) == sorted(expected)
 
 
+def test_triggers_are_the_first_divisible_hash_or_the_least():
+    rng = np.random.default_rng(3)
+    for n in (69, 70, 200, 3000):
+        for most in (40, 1 << 62):  # small hashes: often divisible
+            h = rng.integers(1, most, n, np.uint64) << np.uint64(33 if most == 40 else 0) | (rng.integers(0, 600, n, np.uint64) if most == 40 else np.uint64(1) * (rng.random(n) > 0.01))
+            at = repeats.triggers(h)
+            assert len(at) == n - repeats.SPAN + 1
+            for s in range(len(at)):
+                own = h[s : s + repeats.SPAN]
+                divisible = np.flatnonzero(own % np.uint64(repeats.MODULUS) == 0)
+                assert at[s] == s + (divisible[0] if len(divisible) else np.argmin(own >> np.uint64(32)))
+
+
+def test_rank_reads_a_stream(monkeypatch):
+    """However few phrases are held at once, marks are the same: strings with an earlier equal in their trigger."""
+    rng, gram = random.Random(12), [bytes([g] * 32) for g in range(5)]
+    rows = []
+    for trigger in range(5):
+        for doc in range(12):
+            before = rng.randint(0, 68)
+            rows.append((trigger, doc, 0, 0, 10, before, bytes(rng.choice(b"ab") if rng.random() < 0.05 else 97 for _ in range(before)) + gram[trigger] + b"c" * (rng.randint(max(0, 68 - before), 68) - rng.randint(0, 1) * (before == 68))))
+    rows = [r for r in rows if len(r[6]) >= 100]
+    seen, expected = set(), set()
+    for trigger, doc, _, _, low, before, what in rows:
+        for i in range(max(0, before - 68), min(before, len(what) - 100) + 1):
+            if what[i : i + 100] in seen:
+                expected |= {(doc, trigger, low + i + k) for k in range(100)}
+            seen.add(what[i : i + 100])
+    kinds = [repeats.pa.int64()] * 6 + [repeats.pa.binary()]
+    for held in (1, 5, 1000):
+        monkeypatch.setattr(repeats, "RANKED", held)
+        found = set()
+        for trigger in range(5):  # places by trigger, as documents are the same in each
+            part = [r for r in rows if r[0] == trigger]
+            batches = [repeats.pa.RecordBatch.from_arrays([repeats.pa.array([r[k] for r in part[i : i + 4]], kinds[k]) for k in range(7)], names=list("abcdefg")) for i in range(0, len(part), 4)]
+            found |= {(d, trigger, p) for b in repeats.rank(iter(batches)) for d, _, _, lo, hi in zip(*[c.to_pylist() for c in b.columns]) for p in range(lo, hi)}
+        assert found == expected
+        whole = [repeats.pa.RecordBatch.from_arrays([repeats.pa.array([r[k] for r in rows[i : i + 3]], kinds[k]) for k in range(7)], names=list("abcdefg")) for i in range(0, len(rows), 3)]
+        assert {(d, p) for b in repeats.rank(iter(whole)) for d, _, _, lo, hi in zip(*[c.to_pylist() for c in b.columns]) for p in range(lo, hi)} == {(d, p) for d, _, p in expected}
+
+
+def test_repeats_of_a_text_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 5_000)
+    rng = random.Random(6)
+    long = prose(rng, 3_000)
+    pairs = [(1, long), (2, prose(rng, 30) + long[4_000:9_500] + prose(rng, 900) + long[:6_000])]
+    found = repeats.find_repeats(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == repeated(pairs)
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats_of_one_id(spark, hot):
+    """1,500 rows of one id (and of none), half of them unique: no text loses bytes for another's sake."""
+    rng = random.Random(13)
+    shared = prose(rng, 40)
+    for id_ in (5, None):
+        made = [prose(rng, 25) + (shared if i % 2 else "") + prose(rng, 25) for i in range(1_500)]
+        found = repeats.find_repeats(spark.createDataFrame([(id_, t) for t in made], "doc_id long, text string"), hot=hot)
+        gone = sorted(r["n_removed"] for r in found.collect())
+        assert gone[:751] == [0] * 751 and gone[751] > 150  # the first shared one stays, too
+
+
+def test_repeats_of_text_ids(spark):
+    rng = random.Random(14)
+    shared = prose(rng, 60)
+    pairs = [(f"k{i:02}", prose(rng, 30) + shared[rng.randrange(50) :] + prose(rng, 30)) for i in range(12)]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame([*pairs, (None, shared[:140])], "doc_id string, text string").selectExpr("*", "'x' as key", "'y' as _key")
+    found = {r["doc_id"]: tuple(r)[1:] for r in repeats.find_repeats(df).collect()}
+    assert found == repeated([(None, shared[:140]), *sorted(pairs)])
+    assert repeats.drop_repeats(df).columns == df.columns and repeats.find_repeats(df.limit(0)).collect() == []
+
+
 def test_quality(spark, docs, none):
     def base(t):
         raw = t or ""
@@ -397,7 +531,7 @@ def test_quality(spark, docs, none):
     out = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert out[6]["base_failed"] and out[12]["base_failed"] and not out[12]["kept"] and len(quality.judge(docs).collect()) == len(texts())
     assert quality.keep_documents(docs).columns == docs.columns and quality.judge(none).collect() == []
-    stats = quality.document_stats(docs)
+    stats = docs.select("doc_id", quality.F.coalesce("lang", quality.F.lit("")).alias("lang"), quality.counted(quality.F.col("text")).alias("s")).select("doc_id", "lang", "s.*")
     refs = quality.references(stats)
     assert sorted(quality.with_references(stats, refs, 0).toJSON().collect()) == sorted(quality.with_references(stats, refs).toJSON().collect())
     assert quality.jensen_shannon(np.array([1, 0]), np.array([0, 1])) == 1.0 and quality.jensen_shannon(np.array([2, 2]), np.array([1, 1])) == 0.0
@@ -416,6 +550,84 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert kept == {*range(len(clean)), *range(1000, 1012), 1200}
 
 
-def test_only_takes_null_ids_and_clashing_names(docs):
-    assert only(docs, docs.where("doc_id is null").select("doc_id"), "doc_id").count() == 1
-    assert only(docs, docs.where("doc_id is null").select("doc_id"), "doc_id", "left_anti").count() == docs.count() - 1
+def test_verdicts_of_quality_against_brute_force(spark):
+    """kept, from histograms, medians, limits and distances computed anew."""
+    import math
+    import statistics
+
+    rng = random.Random(21)
+    made = [(i, prose(rng, rng.randint(50, 260)), rng.choice(["en", "de"])) for i in range(260)]
+    made += [(300 + i, " ".join(w + rng.choice(["", "##", "%"]) for w in prose(rng, 80).split()), "en") for i in range(10)]
+    made += [(400 + i, " ".join("kami" for _ in range(3)) + " " + " ".join("su" + "ka" * (k % 7) + "é" * (k % 3) for k in range(90)), "de") for i in range(3)] + [(500, "too short", "en"), (501, None, "de"), (502, prose(rng, 70), "fr")]
+    vocabulary = sorted({w for ws in quality.COMMON_WORDS.values() for w in ws.split()})
+    marks, symbols = set(".,;:!?'\"()-+=/@_[]{}~^`\\"), set("#*$%&|<>")
+
+    def histograms(t):
+        chars, words = [0] * 6, [0] * (len(vocabulary) + 1)
+        for c in t:
+            chars[0 if ord(c) > 127 or c.isdigit() or c.islower() else 1 if c.isupper() else 2 if c in " \t\n\r\v\f" else 3 if c in marks else 4 if c in symbols else 5] += 1
+        for w in re.findall("[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)):
+            words[vocabulary.index(w) if w in vocabulary else -1] += 1
+        return chars, words
+
+    def distance(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(max(0, sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2))
+
+    def lower(values, share):  # percentile_approx, exact on few values
+        return sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
+
+    def percentile(values, share):
+        v, at = sorted(values), share * (len(values) - 1)
+        return v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at))
+
+    good = {i: (len(t.split()), lang, *histograms(t)) for i, t, lang in made if t and len(t.split()) >= 50 and not quality.base_failed(*[quality.text_counts(t.encode())[k] for k in (0, 4)])}
+    refs = {}
+    for lang in {g[1] for g in good.values()}:
+        own = [g for g in good.values() if g[1] == lang]
+        refs[lang] = [lower([g[2][k] / sum(g[2]) for g in own], 0.5) for k in range(6)], [sum(g[3][k] for g in own) for k in range(len(vocabulary) + 1)]
+    z, limits = defaultdict(list), {}
+    for n, lang, _, words in good.values():
+        if sum(refs[lang][1]) >= 1_000:
+            for band in ((n // 50).bit_length() - 1, -1):
+                z[lang, band].append(round(distance(words, refs[lang][1]) * math.sqrt(n), 2))
+    for k, v in z.items():
+        if len(v) >= 30:
+            low, mid = percentile(v, 0.25), percentile(v, 0.5)
+            limits[k] = max(2.0, mid + 8 * (mid - low))
+    expected = {}
+    for i, t, _ in made:
+        if i not in good:
+            expected[i] = False
+            continue
+        n, lang, chars, words = good[i]
+        ref_chars, ref_words = refs[lang]
+        if sum(ref_words) < 1_000:
+            expected[i] = True
+            continue
+        limit = max(0.15, limits.get((lang, (n // 50).bit_length() - 1), limits.get((lang, -1), 4.0)) / math.sqrt(n))
+        if n * (1 - ref_words[-1] / sum(ref_words)) >= 10:
+            limit = min(limit, 0.95 * distance([0] * len(vocabulary) + [1], ref_words))
+        expected[i] = distance(chars, ref_chars) <= 0.1 + 0.2 / math.sqrt(n) and distance(words, ref_words) <= limit
+    found = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    assert found == expected and 5 < sum(not x for x in expected.values()) < 60 and statistics.mean(expected.values()) > 0.8
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Clean and bad rows of equal and null ids; identical rows."""
+    rng = random.Random(22)
+    item, fine = prose(rng, 20), [prose(rng, 80) for _ in range(5)]
+    rows = [(7, fine[0] + " " + item), (7, fine[1]), (None, fine[2] + " " + item), (None, fine[3]), (8, fine[4]), (8, fine[4]), (5, "short"), (5, fine[0]), (None, None)]
+    for kind in ("long", "string"):
+        made = [(i if kind == "long" or i is None else str(i), t, "en", "k") for i, t in rows]
+        df = spark.createDataFrame(made, f"doc_id {kind}, text string, lang string, key string")
+        clean = winnowing.clean_documents(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+        assert sorted(map(str, clean.collect())) == sorted(map(str, df.where(~df.text.endswith(item) | df.text.isNull()).collect())) and clean.columns == df.columns
+        kept = quality.keep_documents(df)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, df.where("length(text) > 20").collect())) and kept.columns == df.columns
+
+
+def test_keys_are_broadcast_or_shuffled_alike(docs):
+    key, found = common.text_key("text"), docs.where("length(text) > 300")
+    want = docs.where("not coalesce(length(text) > 300, false)").count()
+    assert {common.of_other_texts(docs, found.select(key.alias("key")), key, most).count() for most in (0, 1_000)} == {want}
