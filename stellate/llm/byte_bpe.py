@@ -25,8 +25,8 @@ from stellate.llm.common import bounded_batches, vocabulary
 
 LONG = 256
 NONE = np.int32(2**31 - 1)
-#: Cells of a matrix; distinct pieces whose ids a task remembers.
-CELLS, PIECES_KEPT = 1 << 20, 400_000
+#: Cells of a matrix; distinct pieces whose ids a task remembers, and their bytes at most.
+CELLS, PIECES_KEPT, BYTES_KEPT = 1 << 20, 400_000, 16 << 20
 
 
 class PairTable:
@@ -170,16 +170,18 @@ class TextCoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.bpe, self.split, self.known = ByteBPE.from_file(path), regex.compile(pattern).findall, {}
+        self.bpe, self.split, self.known, self.size = ByteBPE.from_file(path), regex.compile(pattern).findall, {}, 0
 
     def pieces(self, texts: list[str | None]) -> list[list[tuple[list[int], str, bytes]]]:
         """Ids, ids as text and decoded bytes of each piece of each text."""
-        if len(self.known) > PIECES_KEPT:
+        if len(self.known) > PIECES_KEPT or self.size > BYTES_KEPT:
             self.known.clear()
+            self.size = 0
         known, split = self.known, [self.split(t) if t else [] for t in texts]
         new = list({p for ps in split for p in ps if p not in known})
         for p, ids in zip(new, self.bpe.encode_pieces([p.encode() for p in new])):
             known[p] = (ids, " ".join(map(str, ids)), self.bpe.decode(ids))
+            self.size += len(p)
         return [[known[p] for p in ps] for ps in split]
 
 

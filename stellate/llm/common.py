@@ -29,9 +29,23 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths that scratch gave out.
+GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark)}/stellate-{label}-{uuid.uuid4().hex}"
+    GIVEN.append(f"{shared_root(spark)}/stellate-{label}-{uuid.uuid4().hex}")
+    return GIVEN[-1]
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Deletes what operators have written under scratch paths; for when their results are no longer read. Returns how many there were."""
+    paths, GIVEN[:] = list(GIVEN), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

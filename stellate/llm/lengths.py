@@ -60,13 +60,15 @@ def with_suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """n_limit, docs_fit, tokens_truncated for any limits, from the sums of the next length above."""
-    spark = sums.sparkSession
-    ask = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("n_limit"))
-    total = sums.agg(F.max("tokens_total").alias("all_tokens"), F.sum("n_docs").alias("all_docs"))
-    above = ask.join(sums, F.col("n_tokens") > F.col("n_limit"), "left").groupBy("n_limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "n_tokens").alias("s"))
-    more = F.coalesce("s.docs_at_least", F.lit(0))
-    return above.join(F.broadcast(total)).select("n_limit", (F.coalesce("all_docs", F.lit(0)) - more).alias("docs_fit"), (F.coalesce("all_tokens", F.lit(0)) - F.coalesce("s.tokens_at_least", F.lit(0)) + F.col("n_limit") * more).alias("tokens_truncated"))
+    """n_limit, docs_fit, tokens_truncated for any limits, from the sums of the next length above; one pass, a row a limit."""
+    above = [F.min_by(F.struct("docs_at_least", "tokens_at_least"), F.when(F.col("n_tokens") > x, F.col("n_tokens"))) for x in limits]
+    one = sums.agg(F.coalesce(F.max("tokens_total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), *[x.alias(f"above{i}") for i, x in enumerate(above)])
+    rows = []
+    for i, x in enumerate(limits):
+        more = F.coalesce(F.col(f"above{i}.docs_at_least"), F.lit(0))
+        cut = F.col("tokens") - F.coalesce(F.col(f"above{i}.tokens_at_least"), F.lit(0)) + F.lit(x).cast("long") * more
+        rows.append(F.struct(F.lit(x).cast("long").alias("n_limit"), (F.col("docs") - more).alias("docs_fit"), cut.alias("tokens_truncated")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 def quantile(sums: DataFrame, q: float) -> int | None:

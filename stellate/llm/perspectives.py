@@ -2,9 +2,11 @@
 
 For each participant of a conversation the dialogue is rendered with that speaker as the assistant and all
 others as named users; the mask covers what the assistant says, with the end mark. System turns keep their
-role, take no perspective and are never in the mask. A perspective is cut into parts by turn number, so
-that no task gathers a whole conversation, however long; texts of the parts joined in order are the
-dialogue, and part_start is where a part's text begins in it.
+role, take no perspective and are never in the mask. A perspective is cut into parts of PART_TURNS turns, told
+by their place in the order of turns and not by their numbers, so no task gathers a whole conversation, however
+long and however its turns are numbered; texts of the parts joined in order are the dialogue, and part_start is
+where a part's text begins in it. Places come from a range sort: those within a range, after the turns of the
+conversation in earlier ranges.
 
 Defined cases: a null role is the speaker ``unknown``; a null text is empty; null turns come first; turns of
 equal number are ordered by role, then text; repeated rows are repeated turns; conversations with a null id
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stellate.llm.common import checkpointed
+
 #: Turns of a part.
 PART_TURNS = 128
 SYSTEM = "system"
@@ -29,7 +33,13 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     own = turns.select(
         "conv_id", key.alias("c"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("body"),
     )
-    own = own.withColumn("part", F.expr(f"cast(floor(greatest(turn, 0) / {part_turns}) as long)"))
+    dealt = checkpointed(own.repartitionByRange("c", "turn", "role", "body").withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy("c", "range").count()  # a row for each range that a conversation reaches
+    earlier = Window.partitionBy("c").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("c", "range", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy("range", "c").orderBy("turn", "role", "body"))
+    own = dealt.withColumn("within", within).join(ranges, ["c", "range"])
+    own = own.withColumn("part", F.expr(f"(earlier + within - 1) div {part_turns}")).drop("range", "within", "earlier")
 
     def head(role):
         return F.when(role == SYSTEM, HEADS["system"]).when(role == F.col("speaker"), HEADS["own"]).otherwise(F.concat(F.lit(HEADS["other"]), role, F.lit(HEADS["after"])))
@@ -60,7 +70,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
 
 ORACLE = f"""
 WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS body,
-                  greatest(coalesce(turn, -1), 0) // {PART_TURNS} AS part FROM conversations),
+                  (row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, -1), coalesce(role, 'unknown'), coalesce(text, '')) - 1) // {PART_TURNS} AS part FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 v AS (SELECT t.*, s.speaker, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = speaker THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
              body || '<|end|>' || chr(10) AS said FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),

@@ -32,6 +32,8 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 FOOTER = "<QQQQQQB7x8s"  # index at, bytes; filter at, bytes; entries; ids; bytes of an id; magic
 INDEX_ENTRY = "<QIIQ"  # block at, bytes, entries, ids in earlier blocks
+#: Bytes of text in a shard, about, where there are so many.
+SHARD_BYTES = 256 << 20
 #: Distinct words whose ids a worker remembers, over all its tasks; the memory is emptied beyond that.
 WORDS_KEPT = 1_500_000
 
@@ -71,10 +73,14 @@ def _read_varint(buf, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bloom_positions(key: bytes, bits: int) -> list[int]:
+def _bloom_hash(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
+    return h & (1 << 64) - 1, h >> 64 | 1
+
+
+def _bloom_positions(key: bytes, bits: int) -> list[int]:
+    a, b = _bloom_hash(key)
+    return [(a + i * b & (1 << 64) - 1) % bits for i in range(BLOOM_HASHES)]
 
 
 class ShardWriter:
@@ -83,7 +89,7 @@ class ShardWriter:
     def __init__(self, out, id_bytes: int, block_bytes: int = BLOCK_BYTES):
         self.out, self.id_bytes, self.block_bytes = out, id_bytes, block_bytes
         self.at = self.entries = self.ids = self.block_entries = self.block_start_ids = 0
-        self.block, self.last, self.index, self.hashes = bytearray(), b"", [], []
+        self.block, self.last, self.index, self.hashes = bytearray(), b"", [], array("Q")
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -99,8 +105,9 @@ class ShardWriter:
             while shared < most and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        if key != self.last or not self.entries:
+            self.hashes.extend(_bloom_hash(key))
         self.last = key
-        self.hashes.append(key)
         self.block_entries += 1
         self.entries += 1
         self.ids += len(value) // self.id_bytes
@@ -119,11 +126,12 @@ class ShardWriter:
         index_at = self.at
         self._put(b"".join(_varint(len(k)) + k + struct.pack(INDEX_ENTRY, *rest) for k, *rest in self.index))
         bloom_at = self.at
-        bits = max(64, BLOOM_BITS_PER_KEY * len(self.hashes)) // 8 * 8
+        bits = max(64, BLOOM_BITS_PER_KEY * len(self.hashes) // 2) // 8 * 8
         bloom = np.zeros(bits // 8, np.uint8)
-        for key in set(self.hashes):
-            for p in _bloom_positions(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        a, b = np.array(self.hashes, np.uint64).reshape(-1, 2).T
+        for i in range(BLOOM_HASHES):
+            p = (a + np.uint64(i) * b) % np.uint64(bits)
+            np.bitwise_or.at(bloom, (p >> np.uint64(3)).astype(np.int64), np.left_shift(1, (p & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
         self._put(bloom.tobytes())
         self._put(struct.pack(FOOTER, index_at, bloom_at - index_at, bloom_at, bits // 8, self.entries, self.ids, self.id_bytes, MAGIC))
 
@@ -197,11 +205,12 @@ def open_shard(uri: str) -> ShardReader:
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once.
 
-    The vocabulary drops white space and never joins what stands on its two sides, so the ids of a text
-    are those of its words (runs without ASCII white space), one after another. It also composes characters and
+    A vocabulary file whose steps are those of word_wise drops white space and never joins what stands on its two
+    sides, so the ids of a text are those of its words (runs without ASCII white space), one after another. It also composes characters and
     then folds case, so A-Z are folded here, save in texts that may spell special tokens and in words with a
     combining mark or any other character beyond ASCII, which may compose with a capital. Words go to the library many at
-    a time, parted by MARK, whose single id doesn't stem from any word without a MARK in it.
+    a time, parted by MARK, whose single id doesn't stem from any word without a MARK in it. With any other file
+    whole texts go to the library.
     """
 
     MARK = "0"
@@ -214,9 +223,28 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.by_word = self.word_wise(path)
+        if self.by_word:
+            (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def word_wise(path: str) -> bool:
+        """Whether the file's steps are: compose, white space to one space, fold case; split, white space removed."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        first = steps.get("normalizer") or {}
+        kinds = [n["type"] for n in first.get("normalizers", [first]) if n]
+        space = [n for n in first.get("normalizers", []) if n["type"] == "Replace"]
+        pre = steps.get("pre_tokenizer") or {}
+        split = next(iter(pre.get("pretokenizers", [])), pre)
+        return (
+            kinds == ["NFC", "Replace", "Lowercase"] and space[0]["pattern"] == {"Regex": "\\s+"} and space[0]["content"] == " "
+            and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+        )
+
     def _learn(self, new: list[bytes]) -> None:
         kind, known, encode = "H" if self.id_bytes == 2 else "I", self.known, self.tokenizer.encode_batch_fast
         mark = self.MARK.encode()
@@ -243,6 +271,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
+        if not self.by_word:
+            kind = "H" if self.id_bytes == 2 else "I"
+            return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         raw = [t.encode() if t else b"" for t in texts]
@@ -285,7 +316,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary_file: str = "word_bpe_49
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "file": [name], "entries": [writer.entries], "ids": [writer.ids]})
 
-    parts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).repartitionByRange(shards or partitions(spark), "k").sortWithinPartitions("k", "t")
+    own = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    if not shards:
+        size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    # by beginnings of texts, too, so that the rows of one identifier needn't share a shard
+    parts = own.repartitionByRange(shards, F.col("k"), F.substring("t", 1, 64)).sortWithinPartitions("k", "t")
     rows = sorted(parts.mapInArrow(write, "part long, file string, entries long, ids long").collect())
     out, before = [], 0
     for row in rows:
@@ -321,9 +357,12 @@ def lookup(shards: list[str], identifiers: list) -> dict:
     readers = [r for r in map(open_shard, shards) if r.index]
     found = {}
     for identifier in identifiers:
-        key = key_of(identifier)
-        at = bisect.bisect_left([r.index[-1][0] for r in readers], key)
-        found[identifier] = [r.array(v) for r in readers[at : at + 2] for v in r.get(key)]
+        key, values = key_of(identifier), []
+        for r in readers[bisect.bisect_left([r.index[-1][0] for r in readers], key) :]:
+            values += [r.array(v) for v in r.get(key)]
+            if r.index[-1][0] > key:
+                break
+        found[identifier] = values
     return found
 
 

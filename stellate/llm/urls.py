@@ -9,7 +9,8 @@ That turns the rules into boundaries at which the innermost open rule changes. A
 for each of its ancestor hosts that has as many labels as some rule; lookups and boundaries are sorted
 together over range partitions, and each lookup takes the last boundary before it, from its partition or,
 by a row for each partition, from the ones before. A host or url with very many rows is spread over
-partitions by a salt in the sort key; only rules of one top-level label share a task of the rules' sweep.
+partitions by a salt in the sort key. Rules are swept in range partitions, too: depths and open rules of the
+partitions before come from a row for each partition and depth, so no label's rules share a task.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path and get the default verdict;
 of equal rules a blocking one counts; of rules of equal length the one with the longer host wins; repeated
@@ -60,11 +61,15 @@ def boundaries(rules: DataFrame) -> DataFrame:
     events = own.select("key", F.lit(1).alias("step"), rule.alias("opened")).unionByName(
         own.select(F.concat("key", F.lit(b"\xff")).alias("key"), F.lit(-1).alias("step"), F.lit(None).cast("struct<size:int,host_size:int,rule:string,verdict:string>").alias("opened"))
     )
-    group = F.expr("regexp_extract(decode(key, 'ISO-8859-1'), '^[^.\\\\x00]*', 0)")
-    events = events.withColumn("top_label", group)
-    events = events.withColumn("depth", F.sum("step").over(Window.partitionBy("top_label").orderBy("key")))
-    level = Window.partitionBy("top_label", "depth").orderBy("key")
-    top = F.when(F.col("depth") > 0, F.last("opened", ignorenulls=True).over(level))
+    events = checkpointed(events.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = events.groupBy("part").agg(F.sum("step").alias("steps")).select("part", F.coalesce(F.sum("steps").over(earlier), F.lit(0)).alias("before"))  # a row a partition
+    events = events.join(F.broadcast(before), "part").withColumn("depth", F.col("before") + F.sum("step").over(Window.partitionBy("part").orderBy("key")))
+    ends = events.groupBy("part", "depth").agg(F.max_by(F.when(F.col("opened").isNotNull(), F.col("opened")), F.when(F.col("opened").isNotNull(), F.col("key"))).alias("end"))
+    carried = ends.select("part", "depth", F.last("end", ignorenulls=True).over(Window.partitionBy("depth").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # a row a partition and depth
+    here = F.last("opened", ignorenulls=True).over(Window.partitionBy("part", "depth").orderBy("key"))
+    events = events.withColumn("here", here).join(F.broadcast(carried), ["part", "depth"])
+    top = F.when(F.col("depth") > 0, F.coalesce("here", "carried"))
     return events.select("key", F.struct(top["size"].alias("size"), top["host_size"].alias("host_size"), top["rule"].alias("rule"), top["verdict"].alias("verdict")).alias("top"))
 
 

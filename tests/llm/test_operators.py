@@ -81,6 +81,59 @@ def test_shard_lookup():
     assert [sstable.identifier_of(sstable.key_of(x)) for x in (None, -3, 8, "k")] == [None, -3, 8, "k"]
 
 
+def test_shards_of_one_identifier(spark):
+    """Its rows go to several shards, in order of their texts; lookups find all; writing again harms nothing."""
+    rng = random.Random(31)
+    made = [(5, prose(rng, 12)) for _ in range(300)] + [(5, None), (None, "x"), (9, "y"), (9, "y")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    path = common.scratch(spark, "test")
+    shards = sstable.write_shards(df, path, shards=6)
+    again = sstable.write_shards(df, path, shards=6)
+    assert len(shards) > 3 and [s[1:] for s in shards] == [s[1:] for s in again] and not {s[0] for s in shards} & {s[0] for s in again}
+    encoder = sstable.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [[*np.frombuffer(encoder.encode([t])[0], "<u2").tolist(), 2] for t in [None, *sorted(t for i, t in made if i == 5 and t)]]
+    found = sstable.lookup([s[0] for s in shards], [5, 9, None, 6])
+    assert [x.tolist() for x in found[5]] == want and len(found[9]) == 2 and len(found[None]) == 1 and found[6] == []
+    assert sorted(tuple(r) for r in sstable.read_shards(spark, shards).where("doc_id is not null").collect()) == sorted(tuple(r) for r in sstable.read_shards(spark, again).where("doc_id is not null").collect())
+    assert common.discard_scratch(spark) and not common.GIVEN
+
+
+def test_other_vocabularies_are_encoded_whole():
+    encoder = sstable.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Two  words,\nand THREE more"
+    assert not encoder.by_word and np.frombuffer(encoder.encode([text, None])[0], "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sstable.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).by_word
+
+
+def test_rules_of_one_label(spark):
+    """Many nested rules below one top-level label, swept over several partitions."""
+    rng = random.Random(32)
+    hosts = ["com", *(f"{a}.com" for a in "abcdef"), *(f"{b}.{a}.com" for a in "abc" for b in "xyz")]
+    rules = sorted({h + p: rng.choice(["allow", "block"]) for h in hosts for p in rng.sample(["/", "/a", "/a/b", "/a/b/c", "/b", ""], 3)}.items())
+    cases = [f"http://{rng.choice(['', 'w.', 'v.w.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/b/c/d', '/ab', '/b?x', '/c'])}" for _ in range(400)]
+
+    def judge(url):
+        m = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+        fits = [(len(r), len(r.split("/")[0]), r, v) for r, v in rules if (m[1] == (h := r.split("/")[0]) or m[1].endswith("." + h)) and m[2].startswith(r[len(h) :])]
+        return (m[1], m[2], max(fits)[2], max(fits)[3]) if fits else (m[1], m[2], None, "allow")
+
+    found = urls.judge_urls(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), urls.rules_table(spark, rules))
+    assert rows(found) == [(i, *judge(u)) for i, u in enumerate(cases)]
+
+
+def test_parts_of_turns_without_numbers(spark):
+    """Equal, null and negative turn numbers: no part has more turns than the limit, and the parts make up the dialogue."""
+    rng = random.Random(33)
+    turns = [(None if i % 2 else 1, rng.choice([None, -5, 3, 3]), rng.choice(["ann", "bob", None, "system"]), rng.choice([None, "hi", prose(rng, 4)])) for i in range(240)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["speaker"]): r["text"] for r in perspectives.rotate(df, part_turns=1_000).collect()}
+    parts, found = defaultdict(str), perspectives.rotate(df, part_turns=8).collect()
+    for r in sorted(found, key=lambda r: r["part"]):
+        assert r["n_turns"] <= 8 and len(parts[r["conv_id"], r["speaker"]]) == r["part_start"]
+        parts[r["conv_id"], r["speaker"]] += r["text"]
+    assert parts == whole and len(whole) == 6 and max(r["part"] for r in found) == 14
+
+
 def test_urls(spark):
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.net/en/x", "block"), ("com", "block"), ("b.com/p", "allow")]
     cases = ["http://net/", "http://a.NET/x?q", "https://www.example.net/en/1", "https://example.net/en/x/y", "http://example.net", "http://xexample.net/en/", "ftp://b.com/path#f", "http://com", "nothing", None, "", "://", "http://a.b.com/P", "http://net/"] + ["http://hot.net/en/"] * 50
