@@ -74,6 +74,11 @@ def element(a, i: int) -> Column:
     return F.element_at(_col(a), i + 1)
 
 
+def exploded(df, column: str, *keep: str):
+    """A row a member of each vector: the columns kept, position (from 0) and value."""
+    return df.select(*keep, F.posexplode(column).alias("position", "value"))
+
+
 METRICS: dict[str, Callable] = {"l2": l2_squared, "l2_sqrt": l2_distance, "inner_product": inner_product_distance, "cosine": cosine_distance}
 
 

@@ -1,9 +1,14 @@
 """Approximate nearest neighbours: a layered proximity graph in each shard of a collection.
 
 Vectors are dealt to shards by a hash of their id; each shard builds its graph by itself, and a query
-descends all graphs, the best k of all shards being the answer. The index is three tables: nodes (shard,
-node_id, id, vector, level), edges (shard, node_id, layer, neighbor_id) and a row of parameters a shard,
-with the metric, so that a loaded index ranks as it was built to.
+descends all graphs, the best k of all shards being the answer. There are as many shards as keep each at
+SHARD_NODES nodes, about. The index is two tables: graphs (a row a node: shard, node_id, id, vector, level and
+links by layer) and a row of parameters a shard, with the metric, so that a loaded index ranks as it was built
+to; nodes and edges are views of the graphs. Vectors are added to the graphs that are there (add), which keep
+their nodes and change links only.
+
+A search may be told which nodes are alive. Dead ones are passed through, not answered: the search widens until
+it has k that are alive, and where a graph has no more to give, the rest is ranked exactly. Queries go in blocks.
 """
 
 from __future__ import annotations
@@ -11,19 +16,24 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.operators.knn import exact_distances, top_k
+from stellate.operators.knn import blocks, exact_distances, top_k
 
 LEVEL_MOST = 16
-NODES, EDGES = "shard int, node_id int, id {id}, vector array<float>, level int", "shard int, node_id int, layer int, neighbor_id int"
-META = "shard int, m int, m_max int, m_max0 int, ef_construction int, dimension int, entry_point int, max_level int, num_nodes int, metric string"
-#: Admission to a full candidate set is a little wider than its worst member.
-WIDEN, WIDEN_BY = 1.01, 1e-5
+GRAPHS = "shard int, node_id int, id {id}, vector array<float>, level int, links array<struct<layer:int,neighbors:array<int>>>, entry boolean"
+#: Admission to a full candidate set is a little wider than its worst member: by a hundredth of its absolute value (distances may be negative here), and a bit.
+WIDEN, WIDEN_BY = 0.01, 1e-5
+#: Nodes of a shard, about; shards at least.
+SHARD_NODES, SHARDS_LEAST = 25_000, 4
+
+
+# The thresholds of both parameter rules and of the search breadth.
 
 
 def adaptive_parameters(dimension: int, expected: int) -> tuple[int, int]:
@@ -68,7 +78,7 @@ class IndexConfig:
     adaptive: bool = True
     expected_size: int = 10_000
     seed: int = 42
-    shards: int = 4
+    shards: int = 0  # 0: by the number of vectors
 
     def resolved(self) -> tuple[int, int]:
         if self.dimension <= 0:
@@ -145,7 +155,7 @@ class Graph:
                 continue
             seen.update(new)
             for dx, x in zip(self.dist(q, new).tolist(), new):
-                if len(best) < ef or dx < -best[0][0] + abs(best[0][0]) * (WIDEN - 1) + WIDEN_BY:
+                if len(best) < ef or dx < -best[0][0] + abs(best[0][0]) * WIDEN + WIDEN_BY:
                     heapq.heappush(open_, (dx, x))
                     heapq.heappush(best, (-dx, x))
                     if len(best) > ef:
@@ -167,56 +177,130 @@ class Graph:
                 chosen.append(n)
         return chosen + waiting[: most - len(chosen)]
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
-        if self.entry < 0:
+    def search(self, q: np.ndarray, k: int, ef: int, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The k nearest nodes found, of those that are alive."""
+        if self.entry < 0 or not k:
             return []
-        return self._layer(q, [self._descend(q, self.top, 0)], ef, 0)[:k]
+        start = [self._descend(q, self.top, 0)]
+        if alive is None:
+            return self._layer(q, start, ef, 0)[:k]
+        there = int(alive.sum())
+        while there:
+            found = [x for x in self._layer(q, start, ef, 0) if alive[x[1]]]
+            if len(found) >= min(k, there):
+                return found[:k]
+            if ef >= len(self.v):  # nodes that no link leads to
+                nodes = np.flatnonzero(alive)
+                return sorted(zip(self.dist(q, nodes).tolist(), nodes.tolist()))[:k]
+            ef = min(2 * ef, len(self.v))
+        return []
+
+    @classmethod
+    def of(cls, nodes: pd.DataFrame, m: int, ef_construction: int, metric: str) -> Graph:
+        """The graph that rows of a shard, in order of node_id, hold."""
+        vectors = np.stack(nodes["vector"].to_numpy()).astype(np.float64)
+        graph = cls(vectors, nodes["level"].tolist(), m, ef_construction, metric)
+        for own, links in zip(graph.links, nodes["links"]):
+            for link in links:
+                own[link["layer"]] = [int(x) for x in link["neighbors"]]
+        graph.entry = int(np.argmax(nodes["entry"].to_numpy()))
+        graph.top = graph.levels[graph.entry]
+        return graph
+
+    def rows(self, shard: int, ids: list, vectors: list) -> pd.DataFrame:
+        n = len(ids)
+        return pd.DataFrame({
+            "shard": np.full(n, shard, np.int32), "node_id": np.arange(n, dtype=np.int32), "id": ids, "vector": vectors, "level": np.array(self.levels, np.int32),
+            "links": [[{"layer": layer, "neighbors": [int(x) for x in own]} for layer, own in enumerate(node)] for node in self.links], "entry": np.arange(n) == self.entry,
+        })
+
+
+def shards_for(n: int) -> int:
+    return max(SHARDS_LEAST, -(-n // SHARD_NODES))
+
+
+def _dealt(docs: DataFrame, shards: int, seed: int, id_col: str, vector_col: str) -> DataFrame:
+    """shard, id, vector and a number that draws the level."""
+    u = (F.xxhash64(id_col, F.lit(seed)).cast("double") / 2.0**64) + 0.5
+    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), u.alias("u"))
+
+
+def _with_views(graphs: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
+    edges = graphs.select("shard", "node_id", F.explode("links").alias("l")).select("shard", "node_id", "l.layer", F.explode("l.neighbors").alias("neighbor_id"))
+    return {"graphs": graphs, "nodes": graphs.select("shard", "node_id", "id", "vector", "level"), "edges": edges, "meta": meta}
+
+
+def _meta(graphs: DataFrame, m: int, ef: int, dimension: int, metric: str, shards: int, seed: int) -> DataFrame:
+    return graphs.groupBy("shard").agg(
+        F.lit(m).alias("m"), F.lit(m).alias("m_max"), F.lit(2 * m).alias("m_max0"), F.lit(ef).alias("ef_construction"), F.lit(dimension).alias("dimension"),
+        F.max(F.when(F.col("entry"), F.col("node_id"))).alias("entry_point"), F.max("level").alias("max_level"), F.count("*").cast("int").alias("num_nodes"), F.lit(metric).alias("metric"),
+        F.lit(shards).alias("shards"), F.lit(seed).alias("seed"),
+    )
 
 
 def build_index(docs: DataFrame, config: IndexConfig, id_col: str = "id", vector_col: str = "vector") -> dict[str, DataFrame]:
-    """nodes, edges and meta. Each is made from the graphs; with save_index they are built once and written."""
+    """graphs, with views nodes and edges, and meta. Rows without a vector are left out. Written by save_index the graphs are built once."""
     m, ef = config.resolved()
-    kind, metric, dimension, shards, seed = dict(docs.dtypes)[id_col], config.metric, config.dimension, config.shards, config.seed
-    dealt = docs.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), ((F.xxhash64(id_col, F.lit(seed)).cast("double") / 2.0**64) + 0.5).alias("u"))
+    kind, metric, dimension, seed = dict(docs.dtypes)[id_col], config.metric, config.dimension, config.seed
+    docs = docs.where(F.col(vector_col).isNotNull())
+    shards = config.shards or shards_for(docs.count())
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
         vectors = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         if vectors.shape[1] != dimension:
             raise ValueError("vectors differ in dimension")
-        levels = [draw_level(u, m) for u in pdf["u"]]
-        graph = Graph(vectors, levels, m, ef, metric).build()
-        return pd.DataFrame({
-            "shard": pdf["shard"].astype("int32"), "node_id": np.arange(len(pdf), dtype=np.int32), "id": pdf["id"], "vector": pdf["vector"], "level": np.array(levels, np.int32),
-            "links": [[{"layer": layer, "neighbors": [int(x) for x in own]} for layer, own in enumerate(node)] for node in graph.links],
-            "entry": np.arange(len(pdf)) == graph.entry,
-        })
-
-    schema = NODES.format(id=kind) + ", links array<struct<layer:int,neighbors:array<int>>>, entry boolean"
-    built = dealt.groupBy("shard").applyInPandas(build, schema)
-    edges = built.select("shard", "node_id", F.explode("links").alias("l")).select("shard", "node_id", "l.layer", F.explode("l.neighbors").alias("neighbor_id"))
-    meta = built.groupBy("shard").agg(
-        F.lit(m).alias("m"), F.lit(m).alias("m_max"), F.lit(2 * m).alias("m_max0"), F.lit(ef).alias("ef_construction"), F.lit(dimension).alias("dimension"),
-        F.max(F.when(F.col("entry"), F.col("node_id"))).alias("entry_point"), F.max("level").alias("max_level"), F.count("*").cast("int").alias("num_nodes"), F.lit(metric).alias("metric"),
-    )
-    return {"built": built, "nodes": built.select("shard", "node_id", "id", "vector", "level"), "edges": edges, "meta": meta}
+        return Graph(vectors, [draw_level(u, m) for u in pdf["u"]], m, ef, metric).build().rows(key[0], pdf["id"].tolist(), pdf["vector"].tolist())
+
+    graphs = _dealt(docs, shards, seed, id_col, vector_col).groupBy("shard").applyInPandas(build, GRAPHS.format(id=kind))
+    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed))
+
+
+def add_to_index(index: dict[str, DataFrame], docs: DataFrame, id_col: str = "id", vector_col: str = "vector") -> dict[str, DataFrame]:
+    """index with the vectors of docs inserted into its graphs, shard by shard; ids must be new to it."""
+    first = index["meta"].first()
+    if first is None:
+        raise ValueError("an index without nodes has no parameters; build one")
+    m, ef, dimension, metric, shards, seed = (first[c] for c in ("m", "ef_construction", "dimension", "metric", "shards", "seed"))
+    new, kind = _dealt(docs.where(F.col(vector_col).isNotNull()), shards, seed, id_col, vector_col), dict(index["graphs"].dtypes)["id"]
+
+    def insert(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        old, new = old.sort_values("node_id"), new.sort_values("id", kind="stable")
+        if len(new):
+            vectors = np.stack(new["vector"].to_numpy()).astype(np.float64)
+            if vectors.shape[1] != dimension:
+                raise ValueError("vectors differ in dimension")
+            levels = [draw_level(u, m) for u in new["u"]]
+            graph = Graph.of(old, m, ef, metric) if len(old) else Graph(np.empty((0, dimension)), [], m, ef, metric)
+            graph.v, graph.levels = np.concatenate([graph.v, vectors]), graph.levels + levels
+            graph.links += [[[] for _ in range(level + 1)] for level in levels]
+            for i in range(len(old), len(graph.v)):
+                graph._insert(i)
+        else:
+            graph = Graph.of(old, m, ef, metric)
+        return graph.rows(key[0], [*old["id"], *new["id"]], [*old["vector"], *new["vector"]])
+
+    graphs = index["graphs"].groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(insert, GRAPHS.format(id=kind))
+    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed))
 
 
 def save_index(index: dict[str, DataFrame], path: str) -> None:
-    """Writes the tables; the graphs are kept meanwhile, so that they are built once."""
-    built = index.get("built")
-    if built is not None:
-        built.persist()
-    try:
-        for name in ("nodes", "edges", "meta"):
-            index[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    finally:
-        if built is not None:
-            built.unpersist()
+    """Writes the graphs, once, and the parameters from what was written."""
+    index["graphs"].write.mode("overwrite").parquet(f"{path}/graphs")
+    first = index["meta"]
+    graphs = index["graphs"].sparkSession.read.schema(index["graphs"].schema).parquet(f"{path}/graphs")
+    fixed = first.select("m", "ef_construction", "dimension", "metric", "shards", "seed")
+    row = fixed.first() if not graphs.isEmpty() else None
+    meta = _meta(graphs, row["m"], row["ef_construction"], row["dimension"], row["metric"], row["shards"], row["seed"]) if row else first
+    meta.write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def open_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return _with_views(spark.read.parquet(f"{path}/graphs"), spark.read.parquet(f"{path}/meta"))
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    index = {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges", "meta")}
+    index = open_index(spark, path)
     problems = index_problems(index).collect()
     if problems:
         from stellate.errors import IndexCorruptedError
@@ -250,27 +334,32 @@ def neighbors(index: dict[str, DataFrame], node_id: int, layer: int = 0) -> Data
     return index["edges"].where((F.col("node_id") == node_id) & (F.col("layer") == layer)).select("shard", "neighbor_id")
 
 
-def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int = 0, query_col: str = "query_id", vector_col: str = "vector", strict_ef: bool = False) -> DataFrame:
-    """query_col, id, distance and rank. ef 0: max(200, 2k). Queries are gathered: a stated, bounded set."""
+def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int | str = 0, query_col: str = "query_id", vector_col: str = "vector", strict_ef: bool = False, alive: DataFrame | None = None) -> DataFrame:
+    """query_col, id, distance and rank. ef 0: max(200, 2k); "adaptive": by k and the number of nodes. alive: ids of the nodes that count."""
     if k < 0:
         raise ValueError("k must not be negative")
-    asked = queries.select(query_col, F.col(vector_col).cast("array<double>").alias("v")).collect()
-    names, matrix, breadth = [r[0] for r in asked], np.array([r[1] for r in asked], np.float64), ef or default_ef(k)
+    meta = index["meta"].agg(F.first("metric").alias("metric"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("n")).first()
+    metric, breadth = meta["metric"] or "l2", query_ef(k, meta["n"]) if ef == "adaptive" else ef or default_ef(k)
     breadth = breadth if strict_ef else max(breadth, k)
-    kind, asked_kind = dict(index["nodes"].dtypes)["id"], dict(queries.dtypes)[query_col]
-    whole = index["nodes"].groupBy("shard").cogroup(index["edges"].join(index["meta"].select("shard", "metric", "entry_point"), "shard").groupBy("shard"))
-    single = index["meta"].select("metric").first()
-
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("node_id")
-        ids = nodes["id"].to_numpy()
-        graph = Graph(np.stack(nodes["vector"].to_numpy()).astype(np.float64), nodes["level"].tolist(), 0, 0, single[0] if single else "l2")
-        for a, layer, b in zip(edges["node_id"].tolist(), edges["layer"].tolist(), edges["neighbor_id"].tolist()):
-            graph.links[a][layer].append(b)
-        graph.entry = int(edges["entry_point"].iloc[0]) if len(edges) else int(np.argmax(nodes["level"].to_numpy()))
-        graph.top = graph.levels[graph.entry]
-        rows = [(name, ids[n], d) for name, q in zip(names, matrix) for d, n in graph.search(q, k, breadth)]
-        return pd.DataFrame(rows, columns=[query_col, "id", "distance"])
-
-    return top_k(whole.applyInPandas(run, f"`{query_col}` {asked_kind}, id {kind}, distance double"), k, query_col, "id")
-
+    kind, asked_kind = dict(index["graphs"].dtypes)["id"], dict(queries.dtypes)[query_col]
+    graphs, schema = index["graphs"], f"`{query_col}` {asked_kind}, id {kind}, distance double"
+    some = alive is not None
+    graphs = graphs.join(alive.select("id", F.lit(True).alias("alive")).distinct(), "id", "left") if some else graphs.withColumn("alive", F.lit(True))
+
+    def searched(block: list) -> DataFrame:
+        names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
+
+        def run(nodes: pd.DataFrame) -> pd.DataFrame:
+            nodes = nodes.sort_values("node_id")
+            ids, graph = nodes["id"].to_numpy(), Graph.of(nodes, 0, 0, metric)
+            live = (nodes["alive"] == True).to_numpy(bool) if some else None  # noqa: E712 (null: not alive)
+            rows = [(name, ids[n], d) for name, q in zip(names, matrix) for d, n in graph.search(q, k, breadth, live)]
+            return pd.DataFrame(rows, columns=[query_col, "id", "distance"])
+
+        return graphs.groupBy("shard").applyInPandas(run, schema)
+
+    asked = queries.select(query_col, F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    parts = [searched(block) for block in blocks(asked)]
+    if not parts:
+        return graphs.sparkSession.createDataFrame([], schema + ", rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k, query_col, "id")

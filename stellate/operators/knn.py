@@ -2,7 +2,9 @@
 
 One query is an ORDER BY with a limit, which Spark runs as a top-k of each partition. A set of queries is
 gathered while it is at most QUERIES_MOST and each task ranks its part of the corpus against all of them in
-numpy, k rows a query and Arrow batch going on to a second top-k by a window; a larger set goes in blocks.
+numpy, keeping the best k rows of each query from batch to batch, so k rows a query and task go on to a second
+top-k by a window; a larger set goes in blocks. Products of matrices only choose candidates, by a bound of their
+rounding error; what is ranked are distances summed row by row. Rows and queries without a vector are left out.
 Ties are ordered by id.
 """
 
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stellate.functions.filters import compile_filter
 from stellate.functions.vectors import METRICS, Metric, distance
@@ -36,6 +39,7 @@ def search(corpus: DataFrame, vector: list[float], k: int, metric: Metric = "l2"
     _checked(k)
     query = F.array(*[F.lit(float(x)) for x in vector])
     rows = corpus if where is None else corpus.where(compile_filter(where, corpus.schema, json))
+    rows = rows.where(F.col(vector_col).isNotNull())
     best = rows.withColumn("distance", distance(metric, F.col(vector_col), query)).orderBy("distance", id_col).limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", id_col)))  # k rows
 
@@ -72,14 +76,30 @@ def exact_distances(name: str, query: np.ndarray, rows: np.ndarray) -> np.ndarra
     return np.where(norms == 0, 1.0, 1.0 - inner / np.where(norms == 0, 1, norms))
 
 
-def top_of(name: str, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def rounding(name: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For each query, how far a distance by distances may be from the true one, at any of the rows."""
+    eps = 4 * (queries.shape[1] + 4) * np.finfo(np.float64).eps
+    q, r = np.sqrt((queries**2).sum(axis=1)), np.sqrt((rows**2).sum(axis=1).max(initial=0))
+    if name == "cosine":
+        return np.full(len(q), eps)
+    return eps * (q * r if name == "inner_product" else (q + r) ** 2)
+
+
+def nearest(name: str, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the places and distances of its k nearest rows, ties by id."""
-    all_ = distances(name, queries, rows)
+    squared = "l2" if name == "l2_sqrt" else name  # the root keeps the order, but not the bound
+    if squared == "l2" and len(rows):  # what vectors have in common would only add to the rounding error
+        centre = rows.mean(axis=0)
+        q, r = queries - centre, rows - centre
+        off = 4 * np.finfo(np.float64).eps * (np.abs(queries).max(initial=0) + np.abs(rows).max(initial=0)) * np.sqrt(queries.shape[1])  # of the differences
+        reach = np.sqrt((q**2).sum(axis=1)) + np.sqrt((r**2).sum(axis=1).max())
+        all_, slack = distances(squared, q, r), 2 * (rounding(squared, q, r) + 2 * reach * off + off**2)
+    else:
+        all_, slack = distances(squared, queries, rows), 2 * rounding(squared, queries, rows)
     for i, d in enumerate(all_):
         near = np.arange(len(d))
         if k < len(d):
-            edge = np.partition(d, k - 1)[k - 1]
-            near = np.flatnonzero(d <= edge + 1e-9 * max(1.0, abs(edge)))
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + slack[i])
         exact = exact_distances(name, queries[i], rows[near])
         order = np.lexsort((ids[near], exact))[:k]
         yield i, near[order], exact[order]
@@ -104,8 +124,9 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
     rows = corpus if where is None else corpus.where(compile_filter(where, corpus.schema, json))
     rows = rows.select(F.col(id_col), F.col(vector_col).cast("array<double>").alias("__v")).where("__v is not null")
     types = dict(corpus.dtypes)[id_col], dict(queries.dtypes)[query_col]
+    kinds = [to_arrow_type(t) for t in (corpus.schema[id_col].dataType, queries.schema[query_col].dataType)]
     schema = f"`{query_col}` {types[1]}, `{id_col}` {types[0]}, distance double"
-    asked = queries.select(query_col, F.col(query_vector_col).cast("array<double>").alias("__q"))
+    asked = queries.select(query_col, F.col(query_vector_col).cast("array<double>").alias("__q")).where("__q is not null")
     if not isinstance(metric, str):
         # any expression: corpus parts against broadcast blocks of queries of bounded size
         def scored(block: list) -> DataFrame:
@@ -120,20 +141,26 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, metric: Metric =
         names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [(np.empty(0, object), np.empty(0)) for _ in names]  # ids and distances of each query so far
             for batch in batches:
                 if not batch.num_rows or not k:
                     continue
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 if len(flat) != batch.num_rows * matrix.shape[1]:
                     raise ValueError("vectors differ in dimension")
-                ids = np.array(batch.column(0).to_pylist())
-                out = [[], [], []]
-                for i, at, d in top_of(metric, matrix, ids, flat.reshape(batch.num_rows, -1), k):
-                    out[0] += [names[i]] * len(at)
-                    out[1].append(at)
-                    out[2].append(d)
-                taken = batch.column(0).take(pa.array(np.concatenate(out[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]).cast(pa.string() if types[1] == "string" else pa.int32() if types[1] == "int" else pa.int64()), taken, pa.array(np.concatenate(out[2]))], names=[query_col, id_col, "distance"])
+                ids = np.array(batch.column(0).to_pylist(), object)
+                for i, at, d in nearest(metric, matrix, ids, flat.reshape(batch.num_rows, -1), k):
+                    known, far = best[i]
+                    if len(far) == k and d[0] > far[-1]:
+                        continue
+                    known, far = np.concatenate([known, ids[at]]), np.concatenate([far, d])
+                    order = np.lexsort((known, far))[:k]
+                    best[i] = known[order], far[order]
+            sizes = [len(d) for _, d in best]
+            if sum(sizes):
+                asked_by = pa.array(np.repeat(np.arange(len(names)), sizes))
+                found = pa.array(np.concatenate([i for i, _ in best]).tolist(), kinds[0])
+                yield pa.RecordBatch.from_arrays([pa.array(names, kinds[1]).take(asked_by), found, pa.array(np.concatenate([d for _, d in best]))], names=[query_col, id_col, "distance"])
 
         return rows.mapInArrow(run, schema)
 

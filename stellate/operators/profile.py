@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,42 +24,53 @@ def bit_widths(df: DataFrame, column: str, order: str, chunk: int = CHUNK) -> Da
 
     order numbers the rows from 0; a column of another kind must be numbered first.
     """
-    width = 8 * WIDTHS[dict(df.dtypes)[column]]
-    c = F.col(column).cast("long")
+    return df.groupBy(F.expr(f"cast(`{order}` div {chunk} as bigint)").alias("chunk")).agg(chunk_width(df, column).alias("bit_width"))
+
+
+def chunk_width(df: DataFrame, column: str) -> Column:
     wide = F.expr(f"bit_or(cast(`{column}` as bigint))")
-    return df.groupBy(F.expr(f"cast(`{order}` div {chunk} as bigint)").alias("chunk")).agg(F.when(F.min(c) < 0, width).otherwise(bit_length(F.coalesce(wide, F.lit(0)))).cast("int").alias("bit_width"))
+    return F.when(F.min(F.col(column).cast("long")) < 0, 8 * WIDTHS[dict(df.dtypes)[column]]).otherwise(bit_length(F.coalesce(wide, F.lit(0)))).cast("int")
 
 
-def run_count(df: DataFrame, column: str, order: str, block: int = 1 << 16) -> DataFrame:
-    """run_count: maximal runs of equal values in the order of a row number.
+def run_counts(df: DataFrame, columns: list[str], order: str, block: int = 1 << 20) -> DataFrame:
+    """A row with, for each column, the maximal runs of equal values in the order of a row number (r0, r1, ...).
 
-    Runs are counted within blocks of rows; the ends of the blocks, a row each, show where runs go on.
+    Runs are counted within blocks of rows, all columns at once; the ends of the blocks, a row each, show where runs go on.
     """
-    blocks = df.select(F.expr(f"cast(`{order}` div {block} as bigint)").alias("b"), F.col(order).alias("o"), F.col(column).alias("v"))
+    names = range(len(columns))
+    blocks = df.select(F.expr(f"cast(`{order}` div {block} as bigint)").alias("b"), F.col(order).alias("o"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
     w = Window.partitionBy("b").orderBy("o")
-    marked = blocks.withColumn("new", F.when(F.lag("o").over(w).isNull(), True).otherwise(~F.col("v").eqNullSafe(F.lag("v").over(w))))
-    per = marked.groupBy("b").agg(F.sum(F.col("new").cast("long")).alias("n"), F.min_by(F.struct("v"), "o").alias("head"), F.max_by(F.struct("v"), "o").alias("tail"))
+    first = F.lag("o").over(w).isNull()
+    marked = blocks.select("*", *[(first | ~F.col(f"v{i}").eqNullSafe(F.lag(f"v{i}").over(w))).cast("long").alias(f"new{i}") for i in names])
+    ends = F.struct(*[f"v{i}" for i in names])
+    per = marked.groupBy("b").agg(F.min_by(ends, "o").alias("head"), F.max_by(ends, "o").alias("tail"), *[F.sum(f"new{i}").alias(f"n{i}") for i in names])
     on = Window.orderBy("b")  # a row a block
-    return per.withColumn("joined", F.coalesce(F.lag("tail").over(on).eqNullSafe(F.col("head")), F.lit(False)) & F.lag("b").over(on).isNotNull()).agg(F.coalesce(F.sum(F.col("n") - F.col("joined").cast("long")), F.lit(0)).alias("run_count"))
+    before = F.lag("tail").over(on)
+    joined = per.select(*[(F.col(f"n{i}") - F.coalesce(before[f"v{i}"].eqNullSafe(F.col("head")[f"v{i}"]) & F.lag("b").over(on).isNotNull(), F.lit(False)).cast("long")).alias(f"n{i}") for i in names])
+    return joined.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"r{i}") for i in names])
+
+
+def run_count(df: DataFrame, column: str, order: str, block: int = 1 << 20) -> DataFrame:
+    return run_counts(df, [column], order, block).select(F.col("r0").alias("run_count"))
 
 
 def profile(df: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
-    """column_name, num_values, null_count, cardinality, cardinality_ratio, data_size, and with order max_bit_width (integers), run_count, run_ratio."""
-    out = None
-    for name in columns:
-        kind = dict(df.dtypes)[name]
-        own = df.agg(F.count("*").alias("num_values"), F.count_if(F.col(name).isNull()).alias("null_count"), F.count_distinct(name).alias("cardinality"))
-        size = F.col("num_values") * WIDTHS[kind] if kind in WIDTHS else F.lit(None).cast("long")
-        own = own.select(F.lit(name).alias("column_name"), "num_values", "null_count", "cardinality", ratio("cardinality").alias("cardinality_ratio"), size.cast("long").alias("data_size"))
+    """column_name, num_values, null_count, cardinality, cardinality_ratio, data_size, and with order max_bit_width (integers), run_count, run_ratio; one pass each over all columns."""
+    kinds, names = dict(df.dtypes), range(len(columns))
+    sums = df.agg(F.count("*").alias("num_values"), *[F.count_if(F.col(c).isNull()).alias(f"null{i}") for i, c in enumerate(columns)], *[F.count_distinct(c).alias(f"card{i}") for i, c in enumerate(columns)])
+    if order:
+        sums = sums.join(F.broadcast(run_counts(df, columns, order)))  # a row each
+        whole = [i for i in names if kinds[columns[i]] in ("int", "bigint")]
+        widths = df.groupBy(F.expr(f"cast(`{order}` div {CHUNK} as bigint)").alias("chunk")).agg(F.lit(0).alias("none"), *[chunk_width(df, columns[i]).alias(f"bits{i}") for i in whole])
+        sums = sums.join(F.broadcast(widths.agg(F.max("none").alias("none"), *[F.max(f"bits{i}").alias(f"bits{i}") for i in whole])))
+    rows = []
+    for i, c in enumerate(columns):
+        own = [F.lit(c).alias("column_name"), F.col("num_values"), F.col(f"null{i}").alias("null_count"), F.col(f"card{i}").alias("cardinality"), ratio(f"card{i}").alias("cardinality_ratio")]
+        own.append((F.col("num_values") * WIDTHS[kinds[c]] if kinds[c] in WIDTHS else F.lit(None)).cast("long").alias("data_size"))
         if order:
-            runs = run_count(df, name, order)
-            own = own.join(F.broadcast(runs)).withColumn("run_ratio", ratio("run_count"))  # a row each
-            if kind in ("int", "bigint"):
-                own = own.join(F.broadcast(bit_widths(df, name, order).agg(F.max("bit_width").alias("max_bit_width"))))
-            else:
-                own = own.withColumn("max_bit_width", F.lit(None).cast("int"))
-        out = own if out is None else out.unionByName(own)
-    return out
+            own += [(F.col(f"bits{i}") if i in whole else F.lit(None)).cast("int").alias("max_bit_width"), F.col(f"r{i}").alias("run_count"), ratio(f"r{i}").alias("run_ratio")]
+        rows.append(F.struct(*own))
+    return sums.select(F.inline(F.array(*rows)))
 
 
 def profile_approx(df: DataFrame, columns: list[str], rsd: float = 0.05) -> DataFrame:
@@ -110,24 +122,48 @@ def valid(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("ok", ok)
 
 
-def integer_encoding(num_values, run_ratio, cardinality_ratio, max_bit_width, cardinality=None) -> Column:
+@dataclass(frozen=True)
+class Thresholds:
+    """What encodings are chosen by."""
+
+    # The defaults.
+    bit_packing_most: int = 16
+    rle: float = 0.5
+    dictionary: float = 0.5
+    dictionary_most: int = 1 << 20
+    byte_stream_entropy: float = 4.0
+    few_values: int = 100
+    early: float = 0.1  # of runs and of distinct values, before bit width counts
+
+
+def integer_encoding(num_values, run_ratio, cardinality_ratio, max_bit_width, cardinality=None, by: Thresholds = Thresholds()) -> Column:
     """The encoding that suits integers of such a profile."""
     n, runs, card, bits = (x if isinstance(x, Column) else F.col(x) for x in (num_values, run_ratio, cardinality_ratio, max_bit_width))
-    many = (cardinality if isinstance(cardinality, Column) else F.col(cardinality)) > 1 << 20 if cardinality is not None else F.lit(False)
-    chosen = F.when((n < 100) | runs.isNull() | card.isNull(), "zstd").when(runs < 0.1, "rle").when(card < 0.1, "dictionary").when(bits <= 16, "bitpacking").when(card < 0.5, "dictionary").when(runs < 0.5, "rle").otherwise("zstd")
+    many = (cardinality if isinstance(cardinality, Column) else F.col(cardinality)) > by.dictionary_most if cardinality is not None else F.lit(False)
+    chosen = F.when((n < by.few_values) | runs.isNull() | card.isNull(), "zstd").when(runs < by.early, "rle").when(card < by.early, "dictionary").when(bits <= by.bit_packing_most, "bitpacking")
+    chosen = chosen.when(card < by.dictionary, "dictionary").when(runs < by.rle, "rle").otherwise("zstd")
     return F.when((chosen == "dictionary") & many, "zstd").otherwise(chosen)
 
 
-def float_encoding(average_entropy) -> Column:
+def float_encoding(average_entropy, by: Thresholds = Thresholds()) -> Column:
     e = average_entropy if isinstance(average_entropy, Column) else F.col(average_entropy)
-    return F.when(e < 4.0, "byte_stream_split+zstd").otherwise("zstd")
+    return F.when(e < by.byte_stream_entropy, "byte_stream_split+zstd").otherwise("zstd")
+
 
+#: What Parquet does for an advised encoding: dictionaries (whose indexes are run-length and bit-packed), bytes split by place, or neither.
+DICTIONARY, SPLIT = ("rle", "dictionary", "bitpacking"), ("byte_stream_split+zstd",)
+ENCODINGS = (*DICTIONARY, *SPLIT, "zstd")
 
-#: Writer options of Parquet for an advised encoding.
-PARQUET_OPTIONS = {
-    "zstd": {"compression": "zstd", "parquet.enable.dictionary": "false"},
-    "rle": {"compression": "zstd", "parquet.enable.dictionary": "true"},
-    "dictionary": {"compression": "zstd", "parquet.enable.dictionary": "true"},
-    "bitpacking": {"compression": "zstd", "parquet.enable.dictionary": "true"},
-    "byte_stream_split+zstd": {"compression": "zstd", "parquet.enable.dictionary": "false"},
-}
+
+def advise(df: DataFrame, columns: list[str], order: str, by: Thresholds = Thresholds()) -> dict[str, str]:
+    """The encoding of each integer, float and double column, by its profile; for sources.columnar.write_encoded."""
+    kinds = dict(df.dtypes)
+    whole = [c for c in columns if kinds[c] in ("int", "bigint")]
+    out = {}
+    if whole:
+        p = profile(df, whole, order)
+        out |= {r[0]: r[1] for r in p.select("column_name", integer_encoding("num_values", "run_ratio", "cardinality_ratio", "max_bit_width", "cardinality", by)).collect()}  # a row a column
+    for c in columns:
+        if kinds[c] in ("float", "double"):
+            out[c] = byte_entropy(df, c).agg(F.avg("entropy").alias("e")).select(float_encoding(F.coalesce("e", F.lit(8.0)), by)).first()[0]
+    return out

@@ -17,8 +17,8 @@ from stellate.functions.filters import all_of, any_of, compile_filter, field
 from stellate.functions.hashing import fnv1a64
 from stellate.operators import ann, knn, profile
 from stellate.sources.collection import Collection, Config, Database, duplicate_ids, latest, upserted, validated, with_new_ids
-from stellate.sources.columnar import ColumnarWriter, lookup, read_columns, row_index_stats, table_of
-from stellate.sources.storage import FORMAT_VERSION, VersionedTable, compatible
+from stellate.sources.columnar import ColumnarWriter, lookup, read_columns, read_encoded, row_index_stats, table_of, write_encoded
+from stellate.sources.storage import FEATURES, FORMAT_VERSION, VersionedTable, compatible, feature_names
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +49,11 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/stellate-core"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/stellate-core"
     return f"{root.rstrip('/')}/stellate-{uuid.uuid4().hex}"
 
 
@@ -95,6 +99,18 @@ query("knn_custom_metric", f"""SELECT query_id, id, round(distance, 6) AS distan
 )
 
 
+def scaled(df: DataFrame, column: str, id_col: str) -> DataFrame:
+    """Vectors of five lengths, so that metrics rank differently."""
+    return df.withColumn(column, F.transform(column, lambda x: (x * (1 + F.col(id_col) % 5)).cast("float")))
+
+
+SCALED = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x * (1 + vec_id % 5))::FLOAT) AS embedding FROM embeddings) "
+for _metric in DISTANCE:
+    query(f"knn_scaled_{_metric}", SCALED + knn_sql(_metric).replace("embeddings", "e"))(
+        lambda spark, d, m=_metric: rounded(knn.search_batch(scaled(corpus(spark, d), "vector", "id"), scaled(asked(spark, d), "vector", "query_id"), K, m))
+    )
+
+
 def first_vector(spark: SparkSession, d: str) -> list[float]:
     return corpus(spark, d).where("id = 0").first()["vector"]
 
@@ -130,6 +146,25 @@ def _(spark, d):
     return ann.ann_search(built_index(spark, d), asked(spark, d), K)
 
 
+@query("ann_search_wide", SCALED + knn_sql("l2").replace("embeddings", "e"))
+def _(spark, d):
+    """As broad a search as there are nodes: the exact answer."""
+    rows, path = scaled(corpus(spark, d), "vector", "id"), work_folder(spark)
+    ann.save_index(ann.build_index(rows, ann.IndexConfig(64)), path)
+    return rounded(ann.ann_search(ann.load_index(spark, path), scaled(asked(spark, d), "vector", "query_id"), K, ef=rows.count()))
+
+
+@query("ann_added", "SELECT count(*) AS nodes, 0::BIGINT AS problems, count(*) AS ids, true AS recall_reached FROM embeddings")
+def _(spark, d):
+    """A third of the vectors inserted into the graphs of the others."""
+    path, more, rows = work_folder(spark), work_folder(spark), corpus(spark, d)
+    ann.save_index(ann.build_index(rows.where("id % 3 > 0"), ann.IndexConfig(64)), path)
+    ann.save_index(ann.add_to_index(ann.load_index(spark, path), rows.where("id % 3 = 0")), more)
+    index = ann.load_index(spark, more)
+    reached = knn.recall(ann.ann_search(index, asked(spark, d), K), knn.search_batch(rows, asked(spark, d), K)).first()[0] >= 0.9
+    return index["nodes"].agg(F.count("*").alias("nodes"), F.lit(ann.index_problems(index).count()).cast("long").alias("problems"), F.count_distinct("id").alias("ids"), F.lit(reached).alias("recall_reached"))
+
+
 @query("ann_recall", "SELECT true AS recall_reached")
 def _(spark, d):
     found = ann.ann_search(built_index(spark, d), asked(spark, d), K)
@@ -268,6 +303,31 @@ def _(spark, d):
     return Database(spark, path, Config(dimension=64)).collection("embeddings").docs().select("id", "label", F.size("vector").alias("n"))
 
 
+@query("saved_changes", "SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 11 = 1 THEN label + 50 ELSE label END AS label, 3 AS deltas FROM embeddings WHERE vec_id % 11 <> 2")
+def _(spark, d):
+    """Changes saved one after another as deltas, read merged by another session of the database."""
+    c = collection(spark, d)
+    c.save()
+    for change in (lambda: c.upsert(corpus(spark, d).where("id % 11 = 1").withColumn("label", F.col("label") + 50)), lambda: c.delete_batch(corpus(spark, d).where("id % 11 = 2").select("id")), lambda: c.delete_batch(["none"])):
+        change()
+        c.save()
+    again = Collection(spark, c.path, c.name, c.config)
+    return again.docs().select("id", "label", F.lit(again.table.deltas()).alias("deltas"))
+
+
+@query("late_changes", "SELECT user_id::VARCHAR AS id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_id % 10 <> 0")
+def _(spark, d):
+    """Two batches of changes, the later ones first."""
+    from stellate.streaming import apply_changes
+
+    c, events = Database(spark, work_folder(spark), Config(dimension=1)).collection("users"), read(spark, d, "events")
+    changes = events.select(F.col("user_id").cast("string").alias("id"), F.array(F.lit(0.0)).alias("vector"), "value", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 10 == 0, "delete").otherwise("upsert").alias("op"))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (changes.where(F.col("seq") > middle), changes.where(F.col("seq") <= middle)):
+        apply_changes(c, part)
+    return c.docs().select("id", "value")
+
+
 @query("last_writer_wins", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def _(spark, d):
     return latest(read(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
@@ -290,6 +350,14 @@ def _(spark, d):
     return read_columns(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"])
 
 
+@query("encoded_files", "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem")
+def _(spark, d):
+    """Each column with the encoding that its profile advises."""
+    path, rows = work_folder(spark), lines(spark, d).select("row", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"))
+    write_encoded(rows, path, profile.advise(rows, ["l_orderkey", "l_linenumber", "l_quantity"], "row"))
+    return read_encoded(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"])
+
+
 @query("row_index", "SELECT count(*) AS entries, count(DISTINCT o_orderkey) AS keys FROM orders")
 def _(spark, d):
     return row_index_stats(read(spark, d, "orders"), "o_orderkey")
@@ -368,33 +436,46 @@ def _(spark, d):
 
 @query("edge_counts", "SELECT l_orderkey, count(*) AS degree FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("degree"))
+    edges = read(spark, d, "lineitem").select(F.lit(0).alias("shard"), F.lit(0).alias("layer"), F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("neighbor_id"))
+    return ann.degrees({"edges": edges}).select(F.col("node_id").alias("l_orderkey"), "degree")
+
+
+def library(spark: SparkSession, d: str) -> Collection:
+    """documents as a collection."""
+    c = Database(spark, work_folder(spark), Config(dimension=1)).collection("library")
+    c.insert(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array(F.lit(0.0)).alias("vector"), "lang", F.col("doc_id").alias("number")))
+    return c
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "labels").withColumn("id", F.col("doc_id").cast("string"))
 
 
 @query("live_rows", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def _(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+    return library(spark, d).get_batch(labels(spark, d)).select(F.col("number").alias("doc_id"), "lang")
 
 
-@query("missing_rows", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("missing_rows", "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+    c = library(spark, d)
+    c.delete_batch(c.docs().where("number % 2 = 1").select("id"))
+    return c.missing(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))).join(labels(spark, d), "id", "left_anti")
 
 
 @query("joined_rows", "SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def _(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "lang", "quality", "toxic")
+    return library(spark, d).with_documents(labels(spark, d)).select("doc_id", "lang", "quality", "toxic")
 
 
 @query("exploded_vectors", "SELECT vec_id, (i - 1)::INTEGER AS position, embedding[i] AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def _(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "value"))
+    return V.exploded(read(spark, d, "embeddings"), "embedding", "vec_id")
 
 
-@query("newest_of_each", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 3")
+@query("newest_of_each", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
 def _(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
-    return read(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n <= 3").select("event_type", "event_id")
+    return latest(read(spark, d, "events"), ["event_type"], ["ts", "event_id"], 3).select("event_type", "event_id")
 
 
 # Collections as wholes, and what guards them
@@ -474,6 +555,23 @@ def _(spark, d):
     return found.join(labels, "id").groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("label") == 3).alias("orphans"))
 
 
+@query("search_after_changes", f"""WITH e AS (SELECT vec_id::VARCHAR AS id, embedding FROM embeddings WHERE label <> 3 AND vec_id % 100 <> 0 UNION ALL SELECT 'twin' || vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0)
+    SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, c.id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DISTANCE['l2']}, c.id)::INTEGER AS rank FROM embeddings q JOIN e c ON q.vec_id % 100 = 0) WHERE rank <= {K}""")
+def _(spark, d):
+    """Deletions and insertions since the index was built; as broad a search as there are nodes."""
+    c = thinned(spark, d)
+    c.delete_batch(c.docs().where("cast(id as long) % 100 = 0").select("id"))
+    c.insert(corpus(spark, d).where("id % 100 = 0").withColumn("id", F.concat(F.lit("twin"), F.col("id"))))
+    return c.search_index(asked(spark, d), K, ef=corpus(spark, d).count()).select("query_id", "id", "rank")
+
+
+@query("search_index_filtered", knn_sql("l2", "c.label = 5").replace("c.vec_id AS id", "c.vec_id::VARCHAR AS id").replace(", c.vec_id)::INTEGER", ", c.vec_id::VARCHAR)::INTEGER"))
+def _(spark, d):
+    c = collection(spark, d)
+    c.build_index()
+    return rounded(c.search_index(asked(spark, d), K, ef=corpus(spark, d).count(), where=field("label", "eq", 5)))
+
+
 @query("filter_json_mismatch", "SELECT event_id FROM events WHERE props->>'$.k' IS NOT NULL")
 def _(spark, d):
     events = read(spark, d, "events")  # a number is unequal to any text, and neither above nor below it
@@ -505,10 +603,10 @@ def _(spark, d):
     return best.where("n = 1").drop("n")
 
 
-@query("recall_of_exact", "SELECT 1.0::DOUBLE AS recall")
+@query("recall_of_part", f"SELECT round(avg(r), 9) AS recall FROM (SELECT query_id, avg(CASE WHEN id % 3 > 0 THEN 1.0 ELSE 0.0 END) AS r FROM {HITS} GROUP BY 1)")
 def _(spark, d):
     exact = knn.search_batch(corpus(spark, d), asked(spark, d), K)
-    return knn.recall(exact, exact)
+    return knn.recall(exact.where("id % 3 > 0"), exact).select(F.round("recall", 9).alias("recall"))
 
 
 DIMENSIONS, EXPECTED = (64, 128, 129, 512, 768, 1024, 1536), (100, 10_000, 30_000, 50_000, 60_000, 1_000_000, 100_000_000)
@@ -532,6 +630,12 @@ def _(spark, d):
     return spark.createDataFrame([(a, b, compatible(FORMAT_VERSION, (a, b))) for a in range(4) for b in range(5)], "major int, minor int, readable boolean")
 
 
+@query("format_features", "SELECT bit, 1::BIGINT AS names FROM (SELECT unnest(range(0, 11))::INTEGER AS bit)")
+def _(spark, d):
+    rows = [(i, len([n for n in feature_names(1 << i) if n == FEATURES[i]])) for i in range(len(FEATURES))]
+    return spark.createDataFrame(rows, "bit int, names long")
+
+
 @query("row_lookup", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7")
 def _(spark, d):
     path, rows = work_folder(spark), read(spark, d, "lineitem")

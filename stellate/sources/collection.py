@@ -1,25 +1,29 @@
 """Collections of documents: id, vector, ts, metadata columns.
 
-A collection is a versioned table of Parquet; changes are DataFrame joins on the id, staged lazily and
-written by save(). Reads see staged changes. Many staged changes make a long plan, so after STAGED_MOST of
-them the next one saves first.
+A collection is a versioned table of Parquet. A change is written once when it is made (so that times and ids
+given to it stay what they are), beside the table, and read merged with it. save() commits what is staged as a
+delta: only changed documents are written, and merged with the others as the table is read; after DELTAS_MOST
+deltas a whole version is written. Many staged changes make a long plan, so after STAGED_MOST of them the next
+one saves first. A save fails if another writer has committed since this collection was opened or saved.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stellate.errors import CollectionClosedError, CollectionNotFoundError, DimensionMismatchError, DocumentNotFoundError, DuplicateIDError, EmptyIndexError, InvalidDocumentError
+from stellate.errors import CollectionClosedError, CollectionNotFoundError, DimensionMismatchError, DocumentNotFoundError, DuplicateIDError, EmptyIndexError, InvalidDocumentError, OperationTimeoutError
 from stellate.functions.filters import compile_filter
 from stellate.operators import ann, knn
-from stellate.sources.storage import Files, VersionedTable
+from stellate.sources.storage import GONE, ORDER, Files, VersionedTable, changed, last_of
 
-STAGED_MOST = 8
+STAGED_MOST, DELTAS_MOST = 8, 8
 
 
 @dataclass(frozen=True)
@@ -31,7 +35,7 @@ class Config:
     adaptive: bool = True
     expected_size: int = 10_000
     seed: int = 42
-    shards: int = 4
+    shards: int = 0  # of the index; 0: by the number of documents
     parquet: dict = field(default_factory=dict)
 
 
@@ -55,10 +59,10 @@ def duplicate_ids(docs: DataFrame, there: DataFrame) -> DataFrame:
     return twice.unionByName(docs.select("id").join(there.select("id"), "id", "left_semi")).distinct()
 
 
-def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key: last writer wins."""
+def latest(changes: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
+    """The last row of each key (last writer wins), or the last n."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return changes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return changes.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
 
 
 def upserted(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -69,11 +73,16 @@ def upserted(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 class Collection:
     def __init__(self, spark: SparkSession, path: str, name: str, config: Config, metadata: T.StructType | None = None):
         self.spark, self.path, self.name, self.config = spark, path, name, config
-        self.table, self.files, self.closed, self.staged = VersionedTable(spark, f"{path}/documents"), Files(spark), False, 0
+        self.table, self.files, self.closed, self._changes = VersionedTable(spark, f"{path}/documents"), Files(spark), False, []
+        self._at = (self.table.versions() or [0])[-1]
         stored = self.table.read()
         fixed = [T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ts", T.TimestampType())]
         self._docs = stored if stored is not None else spark.createDataFrame([], T.StructType([*fixed, *(metadata or [])]))
 
+    @property
+    def staged(self) -> int:
+        return len(self._changes)
+
     def docs(self) -> DataFrame:
         if self.closed:
             raise CollectionClosedError("read", collection=self.name)
@@ -84,48 +93,72 @@ class Collection:
         self.docs().createOrReplaceTempView(name or self.name)
         return name or self.name
 
-    def _ready(self, docs: DataFrame, op: str) -> DataFrame:
+    def _ready(self, docs: DataFrame, op: str) -> tuple[DataFrame, str]:
+        """docs, checked, and where they have been written."""
         if "ts" not in docs.columns:
             docs = docs.withColumn("ts", F.current_timestamp())
         docs = docs.withColumns({"id": F.col("id").cast("string"), "vector": F.col("vector").cast("array<float>"), "ts": F.coalesce("ts", F.current_timestamp())})
+        docs, path = self._written(docs)
         wrong = docs.where(~validated(docs, self.config.dimension)).select("id", F.size("vector").alias("n")).head(1)
         if wrong:
+            self.files.delete(path)
             bad = DimensionMismatchError if wrong[0]["id"] and wrong[0]["n"] is not None and wrong[0]["n"] != self.config.dimension else InvalidDocumentError
             raise bad(op, f"dimension {self.config.dimension} is expected, and an id", self.name, wrong[0]["id"] or "")
-        return docs
+        return docs, path
+
+    def _written(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.path}/staged/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
 
-    def _stage(self, docs: DataFrame) -> None:
-        self._docs, self.staged = docs, self.staged + 1
+    def _stage(self, change: DataFrame, path: str) -> None:
+        """change: documents, or ids with GONE set, one of an id."""
         if self.staged >= STAGED_MOST:
             self.save()
+        change = change if GONE in change.columns else change.withColumn(GONE, F.lit(False))
+        self._docs = changed(self.docs(), change, "id")
+        self._changes.append((change, path))
+
+    def _stage_gone(self, ids: DataFrame) -> None:
+        change, path = self._written(ids.select(F.col("id").cast("string").alias("id")).distinct())
+        self._stage(change.withColumn(GONE, F.lit(True)), path)
 
     def insert(self, docs: DataFrame) -> None:
         """All or nothing: an id that is there, or twice in docs, is an error."""
-        docs = self._ready(docs, "insert")
+        docs, path = self._ready(docs, "insert")
         bad = duplicate_ids(docs, self.docs()).head(1)
         if bad:
+            self.files.delete(path)
             raise DuplicateIDError("insert", collection=self.name, document=bad[0]["id"])
-        self._stage(self.docs().unionByName(docs, allowMissingColumns=True))
+        self._stage(docs, path)
 
     def update(self, docs: DataFrame) -> None:
         """Replaces whole documents, which must be there."""
-        docs = self._ready(docs, "update")
+        docs, path = self._ready(docs, "update")
         missing = docs.select("id").join(self.docs().select("id"), "id", "left_anti").head(1)
         if missing:
+            self.files.delete(path)
             raise DocumentNotFoundError("update", collection=self.name, document=missing[0]["id"])
-        self._stage(upserted(self.docs(), latest(docs, ["id"], ["ts"])))
+        self._stage(self._last(docs), path)
 
     def upsert(self, docs: DataFrame) -> None:
-        self._stage(upserted(self.docs(), latest(self._ready(docs, "upsert"), ["id"], ["ts"])))
+        """Puts documents in place of those of equal id; of several of an id in docs the one of the latest ts."""
+        docs, path = self._ready(docs, "upsert")
+        self._stage(self._last(docs), path)
+
+    def _last(self, docs: DataFrame) -> DataFrame:
+        """The latest document of each id; of equal times the one of the greatest hash, so that any reading gives the same."""
+        tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+        return latest(docs.withColumn("__tie", tie), ["id"], ["ts", "__tie"]).drop("__tie")
 
     def delete(self, id_: str) -> None:
         if not self.docs().where(F.col("id") == id_).head(1):
             raise DocumentNotFoundError("delete", collection=self.name, document=id_)
-        self._stage(self.docs().where(F.col("id") != id_))
+        self._stage_gone(self._ids([id_]))
 
     def delete_batch(self, ids: list[str] | DataFrame) -> None:
         """Ids that aren't there are passed over."""
-        self._stage(self.docs().join(self._ids(ids), "id", "left_anti"))
+        self._stage_gone(self._ids(ids))
 
     def _ids(self, ids: list[str] | DataFrame) -> DataFrame:
         return ids.select("id").distinct() if isinstance(ids, DataFrame) else self.spark.createDataFrame([(x,) for x in dict.fromkeys(ids)], "id string")
@@ -139,6 +172,14 @@ class Collection:
     def get_batch(self, ids: list[str] | DataFrame) -> DataFrame:
         return self.docs().join(self._ids(ids), "id", "left_semi")
 
+    def missing(self, ids: list[str] | DataFrame) -> DataFrame:
+        """Those of ids that aren't there."""
+        return self._ids(ids).join(self.docs().select("id"), "id", "left_anti")
+
+    def with_documents(self, rows: DataFrame) -> DataFrame:
+        """rows, which have an id, with the documents they name; rows without one are left out."""
+        return rows.join(self.docs(), "id")
+
     def find(self, condition, json: str | None = None) -> DataFrame:
         return self.docs().where(compile_filter(condition, self.docs().schema, json))
 
@@ -169,7 +210,7 @@ class Collection:
     def search_batch(self, queries: DataFrame, k: int, where=None, json: str | None = None, query_col: str = "query_id") -> DataFrame:
         """All queries at once, with the documents joined to the hits."""
         hits = knn.search_batch(self.docs(), queries, k, self.config.metric, where=where, json=json, query_col=query_col)
-        return hits.join(self.docs(), "id")
+        return self.with_documents(hits)
 
     def _dimension(self, n: int) -> None:
         if n != self.config.dimension:
@@ -178,38 +219,97 @@ class Collection:
     def build_index(self) -> dict[str, DataFrame]:
         c = self.config
         own = ann.IndexConfig(c.dimension, c.m, c.ef_construction, c.metric, c.adaptive, c.expected_size, c.seed, c.shards)
-        ann.save_index(ann.build_index(self.docs(), own), f"{self.path}/index")
-        return self.load_index()
+        return self._save_index(ann.build_index(self.docs(), own))
 
     def load_index(self, check: bool = True) -> dict[str, DataFrame] | None:
-        at = f"{self.path}/index"
-        if not self.files.exists(at):
+        """The newest index; each lies in a folder of its own, so that one being read is never overwritten."""
+        path, versions = f"{self.path}/index", self.index_versions()
+        if not versions:
             return None
-        return ann.load_index(self.spark, at) if check else {n: self.spark.read.parquet(f"{at}/{n}") for n in ("nodes", "edges", "meta")}
+        at = f"{path}/v{versions[-1]}"
+        return ann.load_index(self.spark, at) if check else ann.open_index(self.spark, at)
+
+    def index_versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self.files.folders(f"{self.path}/index") if n[1:].isdigit() and self.files.exists(f"{self.path}/index/{n}/meta/_SUCCESS"))
 
-    def search_index(self, queries: DataFrame, k: int, ef: int = 0, strict_orphans: bool = False, query_col: str = "query_id") -> DataFrame:
-        """Approximate search. Nodes whose document has gone or changed are left out; strict_orphans: they still take places among the k."""
+    def _save_index(self, index: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        ann.save_index(index, f"{self.path}/index/v{(self.index_versions() or [0])[-1] + 1}")
+        return self.load_index()
+
+    def _indexed(self, index: dict[str, DataFrame]) -> DataFrame:
+        """Ids whose document has the vector that the index has."""
+        live = self.docs().select("id", F.col("vector").alias("__v"))
+        return index["nodes"].select("id", "vector").join(live, "id").where("vector = __v").select("id")
+
+    def extend_index(self) -> dict[str, DataFrame]:
+        """Inserts documents that the index doesn't have yet into its graphs; a document whose vector has changed needs a new index (until then search ranks it exactly)."""
         index = self.load_index(check=False)
-        if index is None or index["nodes"].isEmpty():
+        if index is None:
+            return self.build_index()
+        new = self.docs().join(index["nodes"].select("id"), "id", "left_anti")
+        return self._save_index(ann.add_to_index(index, new)) if not new.isEmpty() else index
+
+    def search_index(self, queries: DataFrame, k: int, ef: int | str = 0, strict_orphans: bool = False, query_col: str = "query_id", where=None, json: str | None = None) -> DataFrame:
+        """Approximate search, complete: k hits wherever there are k documents (that meet the condition).
+
+        Nodes whose document has gone, changed or fails the condition are passed through by the graphs; documents that
+        the index doesn't have are ranked exactly. strict_orphans: orphans take places among the k, and nothing is added.
+        """
+        index = self.load_index(check=False)
+        if index is None or index["meta"].isEmpty():
             raise EmptyIndexError("search", collection=self.name)
-        live = self.docs().select("id", F.col("vector").alias("__v"))
-        nodes = index["nodes"].select("id", "vector").join(live, "id").where("vector = __v").select("id")
+        fresh = self._indexed(index)
         if strict_orphans:
-            return ann.ann_search(index, queries, k, ef, query_col).join(nodes, "id", "left_semi")
-        found = ann.ann_search(index, queries, max(ef, ann.default_ef(k)) if k else 0, ef, query_col)
-        return knn.top_k(found.drop("rank").join(nodes, "id", "left_semi"), k, query_col, "id")
+            return ann.ann_search(index, queries, k, ef, query_col).join(fresh, "id", "left_semi")
+        docs = self.docs() if where is None else self.find(where, json)
+        found = ann.ann_search(index, queries, k, ef, query_col, alive=fresh.join(docs.select("id"), "id", "left_semi"))
+        rest = docs.join(fresh, "id", "left_anti")
+        exact = knn.search_batch(rest, queries, k, self.config.metric, query_col=query_col)
+        return knn.top_k(found.drop("rank").unionByName(exact.drop("rank")), k, query_col, "id")
 
     def save(self) -> int:
-        version = self.table.commit(self.docs(), **self.config.parquet)
-        self._docs, self.staged = self.table.read(), 0
+        """The version that holds what is staged. Without staged changes nothing is written, but for a first version."""
+        if not self._changes and self._at:
+            return self._at
+        if self._at and self.table.deltas() < DELTAS_MOST:
+            changes = last_of([c.withColumn(ORDER, F.lit(i)) for i, (c, _) in enumerate(self._changes)], "id")
+            return self._saved(self.table.commit_changes(changes, self._at, **self.config.parquet))
+        return self._saved(self.table.commit(self.docs(), self._at, **self.config.parquet))
+
+    def _saved(self, version: int) -> int:
+        self._at, self._docs = version, self.table.read(version)
+        for _, path in self._changes:
+            self.files.delete(path)
+        self._changes = []
         return version
 
     def compact(self) -> int:
-        """Saves what is staged and deletes earlier versions, whose readers must be done; returns how many."""
-        if self.staged:
-            self.save()
+        """Saves everything as one whole version and deletes the earlier ones, whose readers must be done; returns how many."""
+        if self._changes or self.table.deltas():
+            self._saved(self.table.commit(self.docs(), self._at, **self.config.parquet))
         return self.table.vacuum()
 
+    def within(self, seconds: float, action: Callable):
+        """action(), whose jobs are cancelled if it takes longer."""
+        tag, late = f"stellate-{uuid.uuid4().hex}", threading.Event()
+
+        def stop():
+            late.set()
+            self.spark.sparkContext.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(seconds, stop)
+        self.spark.sparkContext.addJobTag(tag)
+        timer.start()
+        try:
+            return action()
+        except Exception as e:
+            if late.is_set():
+                raise OperationTimeoutError("within", f"{seconds} s", self.name) from e
+            raise
+        finally:
+            timer.cancel()
+            self.spark.sparkContext.removeJobTag(tag)
+
     def close(self) -> None:
         if not self.closed:
             if self.staged:
@@ -225,18 +325,20 @@ class Database:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
         self.spark, self.path, self.config, self.files, self.open_ = spark, path.rstrip("/"), config or Config(), Files(spark), {}
         self.files.make(self.path)
-        for name in self.files.folders(self.path):
+        for name in self.collections():
             self.collection(name)
 
     def collection(self, name: str, metadata: T.StructType | None = None) -> Collection:
-        """Opened, or made if new."""
+        """Opened, or made if new. A name is a folder's, and doesn't begin with a dot or an underscore."""
+        if not name or name[0] in "._" or "/" in name or "\\" in name:
+            raise InvalidDocumentError("collection", f"{name!r} is no name of a collection")
         if name not in self.open_ or self.open_[name].closed:
             self.files.make(f"{self.path}/{name}")
             self.open_[name] = Collection(self.spark, f"{self.path}/{name}", name, self.config, metadata)
         return self.open_[name]
 
     def collections(self) -> list[str]:
-        return self.files.folders(self.path)
+        return [n for n in self.files.folders(self.path) if n[0] not in "._"]
 
     def drop(self, name: str) -> None:
         if name not in self.collections():

@@ -13,9 +13,9 @@ from stellate.functions.filters import all_of, any_of, compile_filter, field
 from stellate.functions.hashing import fnv1a, fnv1a64
 from stellate.operators import ann, knn, profile
 from stellate.sources.collection import Config, Database, new_id, with_new_ids
-from stellate.sources.columnar import ColumnarWriter, lookup, read_columns, same_schema, table_of
-from stellate.sources.storage import VersionedTable, check_version, compatible
-from stellate.streaming import stream_into
+from stellate.sources.columnar import ColumnarWriter, lookup, read_columns, read_encoded, same_schema, table_of, write_encoded
+from stellate.sources.storage import VersionedTable, check_version, compatible, feature_flags, feature_names
+from stellate.streaming import apply_changes, stream_into
 
 
 @pytest.fixture(scope="module")
@@ -207,10 +207,10 @@ def test_profile(spark):
     assert (p["num_values"], p["null_count"], p["cardinality"], p["max_bit_width"], p["run_count"], p["data_size"], p["ok"]) == (5000, 0, 50, 6, 50, 20000, True)
     assert [r["bit_width"] for r in profile.bit_widths(df.withColumn("c", -F.col("c")), "c", "row").orderBy("chunk").collect()] == [32] * 5
     advice = profile.profile(df, ["c"], order="row").select(profile.integer_encoding("num_values", "run_ratio", "cardinality_ratio", "max_bit_width")).first()[0]
-    assert advice == "rle" and advice in profile.PARQUET_OPTIONS
+    assert advice == "rle" and advice in profile.ENCODINGS
     assert profile.list_profile(df, "l").first()["max_length"] == 1 and profile.profile_approx(df, ["c", "f"]).count() == 2
     entropy = {r["position"]: r["entropy"] for r in profile.byte_entropy(spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8)], "f double"), "f").collect()}
-    assert entropy[0] == 0 and entropy[6] == 1.5 or entropy[6] > 0
+    assert [entropy[i] for i in range(6)] == [0] * 6 and entropy[6] == 2.0 and abs(entropy[7] - (2 - 0.75 * np.log2(3))) < 1e-9  # 3FF0, 4000, 4010, 4020
 
 
 def test_stream(spark, tmp_path):
@@ -225,3 +225,207 @@ def test_stream(spark, tmp_path):
     changes = spark.readStream.schema("id string, vector array<float>, op string, seq long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     stream_into(c, changes, f"{tmp_path}/ck", once=True).awaitTermination()
     assert {r["id"]: r["vector"] for r in c.docs().collect()} == {k: [float(s)] for k, (op, s) in last.items() if op == "upsert"}
+
+
+def test_profile_of_many_columns_is_that_of_each(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 1, 2]), rng.randint(-3, 3), rng.random(), rng.choice("ab")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "row long, a int, b long, c double, d string").repartition(3)
+    found = {r["column_name"]: r for r in profile.profile(df, ["a", "b", "c", "d"], order="row").collect()}
+    for k, name in enumerate("abcd", 1):
+        values = [r[k] for r in rows]
+        runs = sum(i == 0 or v != values[i - 1] for i, v in enumerate(values))
+        assert (found[name]["run_count"], found[name]["null_count"], found[name]["cardinality"]) == (runs, values.count(None), len(set(values) - {None}))
+        assert profile.run_count(df, name, "row", block=100).first()[0] == runs
+    assert (found["a"]["max_bit_width"], found["b"]["max_bit_width"], found["c"]["max_bit_width"]) == (2, 64, None)
+
+
+def test_encodings_are_applied(spark, tmp_path):
+    from pyarrow import parquet as pq
+
+    df = spark.range(20_000).select("id", (F.col("id") % 7).cast("int").alias("few"), (F.col("id") / 4).cast("double").alias("x"), F.lit(1.5).cast("float").alias("same"))
+    advice = profile.advise(df, ["id", "few", "x", "same"], "id")
+    assert advice["few"] == "dictionary" and advice["same"] == "byte_stream_split+zstd" and advice["id"] == "bitpacking"
+    assert profile.advise(df, ["same"], "id", profile.Thresholds(byte_stream_entropy=0.0)) == {"same": "zstd"}
+    advice["x"] = "byte_stream_split+zstd"
+    names = write_encoded(df.repartition(2), f"{tmp_path}/e", advice)
+    found = read_encoded(spark, f"{tmp_path}/e")
+    assert len(names) == 2 and same_schema(found.schema, df.schema) and found.exceptAll(df).count() == 0 and found.count() == 20_000
+    assert read_encoded(spark, f"{tmp_path}/e", ["x", "few"]).columns == ["x", "few"] and read_columns(spark, f"{tmp_path}/e", ["few"]).agg(F.sum("few")).first()[0] == sum(i % 7 for i in range(20_000))
+    group = pq.ParquetFile(f"{tmp_path}/e/{names[0]}").metadata.row_group(0)
+    encodings = {group.column(i).path_in_schema: group.column(i).encodings for i in range(4)}
+    assert "BYTE_STREAM_SPLIT" in encodings["x"] and "RLE_DICTIONARY" in encodings["few"] and "RLE_DICTIONARY" not in encodings["x"] and group.column(0).compression == "ZSTD"
+    with pytest.raises(errors.InvalidDocumentError):
+        write_encoded(df, f"{tmp_path}/f", {"x": "lz4"})
+
+
+def test_a_damaged_file_is_an_error(spark, tmp_path):
+    df = spark.range(50_000).select("id", F.hex(F.xxhash64("id")).alias("h")).coalesce(1)
+    names = write_encoded(df, f"{tmp_path}/d", {})
+    path = tmp_path / "d" / names[0]
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 2] ^= 255
+    path.write_bytes(raw)
+    for crc in (tmp_path / "d").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        read_columns(spark, f"{tmp_path}/d").agg(F.sum(F.length("h")), F.sum("id")).collect()
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e5])
+@pytest.mark.parametrize("metric", ["l2", "l2_sqrt", "inner_product", "cosine"])
+def test_knn_is_exact_at_any_norm(scale, metric):
+    """Vectors close together far from the origin, and ones of any length; ties, too."""
+    rng = np.random.default_rng(7)
+    for v in (1e4 * scale + 1e-3 * scale * rng.normal(size=(3_000, 32)), scale * rng.normal(size=(3_000, 32)) * rng.lognormal(size=(3_000, 1))):
+        v[10] = v[5]
+        ids, q = np.arange(len(v)), v[:8]
+        for i, at, d in knn.nearest(metric, q, ids, v, 10):
+            exact = knn.exact_distances(metric, q[i], v)
+            assert at.tolist() == np.lexsort((ids, exact))[:10].tolist() and np.array_equal(d, exact[at])
+
+
+def test_rows_without_a_vector_are_no_neighbours(spark):
+    corpus = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, vector array<float>")
+    assert [r["id"] for r in knn.search(corpus, [1.0, 0.0], 3).collect()] == [2, 3]
+    asked = corpus.withColumnRenamed("id", "query_id")
+    assert sorted(tuple(r)[:2] for r in knn.search_batch(corpus, asked, 3).collect()) == [(2, 2), (2, 3), (3, 2), (3, 3)]
+    index = ann.build_index(corpus, ann.IndexConfig(2))
+    assert sorted(tuple(r)[:2] for r in ann.ann_search(index, asked, 3).collect()) == [(2, 2), (2, 3), (3, 2), (3, 3)]
+
+
+def test_index_search_is_complete(spark, tmp_path):
+    rng = np.random.default_rng(43)
+    v = rng.random((700, 8))
+    c = Database(spark, str(tmp_path), Config(dimension=8)).collection("v")
+    c.insert(spark.createDataFrame([(f"d{i:03}", x.tolist(), i % 7) for i, x in enumerate(v[:600])], "id string, vector array<float>, g int"))
+    c.save()
+    c.build_index()
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 600, 60)], "query_id long, vector array<float>")
+    # documents inserted or changed since are found at once
+    c.insert(spark.createDataFrame([(f"e{i}", v[i].tolist(), 9) for i in range(0, 600, 60)], "id string, vector array<float>, g int"))
+    c.upsert(spark.createDataFrame([("d007", v[0].tolist(), 9)], "id string, vector array<float>, g int"))
+    found = c.search_index(asked, 3)
+    assert found.where("id like 'e%' and rank <= 3").count() == 10 and found.where("query_id = 0 and id = 'd007'").count() == 1
+    # a condition is met by all k
+    got = c.search_index(asked, 10, where=field("g", "eq", 3)).join(c.docs().select("id", "g"), "id")
+    assert got.where("g <> 3").isEmpty() and got.groupBy("query_id").count().where("count = 10").count() == 10
+    assert knn.recall(c.search_index(asked, 10, where=field("g", "eq", 3)), knn.search_batch(c.docs(), asked, 10, where=field("g", "eq", 3))).first()[0] >= 0.95
+    # added to the graphs, which keep their nodes
+    before = {r["id"]: r["vector"] for r in c.load_index()["nodes"].select("id", "vector").collect()}
+    c.insert(spark.createDataFrame([(f"f{i}", v[i].tolist(), 1) for i in range(600, 700)], "id string, vector array<float>, g int"))
+    index = c.extend_index()
+    after = {r["id"]: r["vector"] for r in index["nodes"].select("id", "vector").collect()}
+    assert len(after) == 710 and before.items() <= after.items() and ann.index_problems(index).count() == 0
+    assert knn.recall(ann.ann_search(index, asked, 10), knn.search_batch(index["nodes"], asked, 10)).first()[0] >= 0.95
+    # nearly all deleted: still k hits
+    c.delete_batch(c.docs().where("substring(id, 2, 3) not in ('001', '002', '120', '121', '300', '301', '302', '410', '411', '412', '500', '599')").select("id"))
+    left = c.count()
+    assert left == 14 and c.search_index(asked, 10).groupBy("query_id").count().where("count = 10").count() == 10
+    assert sorted(map(str, c.search_index(asked, 10).select("query_id", "id").collect())) == sorted(map(str, knn.search_batch(c.docs(), asked, 10).select("query_id", "id").collect()))
+    assert c.search_index(asked, 50).count() == 140 and c.search_index(asked, 5, ef="adaptive").count() == 50
+
+
+def test_queries_of_an_index_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(44)
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.random((200, 4)))], "id long, vector array<float>")
+    index, asked = ann.build_index(docs, ann.IndexConfig(4, shards=2)), docs.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+    whole = sorted(ann.ann_search(index, asked, 5).select("query_id", "id", "rank").collect())
+    monkeypatch.setattr(knn, "QUERIES_MOST", 7)
+    assert sorted(ann.ann_search(index, asked, 5).select("query_id", "id", "rank").collect()) == whole and len(whole) == 100
+    assert ann.ann_search(index, asked.limit(0), 5).count() == 0
+    assert ann.shards_for(10) == ann.SHARDS_LEAST and ann.shards_for(10**9) == 40_000
+
+
+def test_saves_write_what_changed(spark, tmp_path):
+    kind = "id string, vector array<float>, n int"
+    c = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    c.insert(spark.createDataFrame([(f"k{i}", [float(i)], i) for i in range(50)], kind))
+    c.save()
+    want = {f"k{i}": i for i in range(50)}
+    for step in range(12):
+        c.upsert(spark.createDataFrame([(f"k{step}", [0.0], 100 + step), (f"new{step}", [1.0], step)], kind))
+        c.delete_batch([f"k{20 + step}", f"new{step - 1}"])
+        c.upsert(spark.createDataFrame([(f"k{20 + step}", [2.0], -step)], kind)) if step % 3 == 0 else None
+        want |= {f"k{step}": 100 + step, f"new{step}": step}
+        want.pop(f"k{20 + step}", None), want.pop(f"new{step - 1}", None)
+        want |= {f"k{20 + step}": -step} if step % 3 == 0 else {}
+        c.save()
+        assert {r["id"]: r["n"] for r in c.docs().collect()} == want
+    assert 0 < c.table.deltas() < 8 and c.files.folders(f"{c.path}/staged") == []
+    again = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    assert {r["id"]: r["n"] for r in again.docs().collect()} == want
+    version = c.save()
+    assert c.save() == version and c.compact() > 0 and c.table.deltas() == 0 and len(c.table.versions()) == 1
+    assert {r["id"]: r["n"] for r in c.docs().collect()} == want
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    kind = "id string, vector array<float>"
+    first = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    first.insert(spark.createDataFrame([("a", [1.0])], kind))
+    first.save()
+    second = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    first.insert(spark.createDataFrame([("b", [1.0])], kind))
+    second.insert(spark.createDataFrame([("x", [1.0])], kind))
+    first.save()
+    with pytest.raises(errors.VersionConflictError):
+        second.save()
+    again = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    assert {r["id"] for r in again.docs().collect()} == {"a", "b"}
+    # a writer that failed after its claim: the next fails until vacuum
+    again.files.claim(f"{again.table.path}/_claim_3")
+    again.insert(spark.createDataFrame([("y", [1.0])], kind))
+    with pytest.raises(errors.VersionConflictError):
+        again.save()
+    again.table.vacuum()
+    assert again.save() == 3 and again.count() == 3
+
+
+def test_staged_times_stay(spark, tmp_path):
+    c = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    c.insert(with_new_ids(spark.createDataFrame([([1.0],), ([2.0],)], "vector array<float>")))
+    seen = sorted(c.docs().select("id", "ts").collect())
+    assert seen == sorted(c.docs().select("id", "ts").collect())
+    c.save()
+    assert seen == sorted(c.docs().select("id", "ts").collect())
+    c.upsert(spark.createDataFrame([(seen[0]["id"], [float(i)]) for i in range(5)], "id string, vector array<float>"))
+    assert c.get(seen[0]["id"])["vector"] == c.get(seen[0]["id"])["vector"] and c.count() == 2
+
+
+def test_names_of_collections(spark, tmp_path):
+    db = Database(spark, str(tmp_path), Config(dimension=1))
+    for name in ("../x", "a/b", "", ".h", "_stream", "a\\b"):
+        with pytest.raises(errors.InvalidDocumentError):
+            db.collection(name)
+    db.files.make(f"{tmp_path}/_stream")
+    assert db.collections() == [] and Database(spark, str(tmp_path)).collections() == []
+
+
+def test_late_changes_lose(spark, tmp_path):
+    c = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    kind = "id string, vector array<float>, op string, seq long"
+    apply_changes(c, spark.createDataFrame([("a", [9.0], "upsert", 9), ("b", [8.0], "delete", 8), ("c", [1.0], "upsert", 1)], kind))
+    late = spark.createDataFrame([("a", [3.0], "upsert", 3), ("b", [4.0], "upsert", 4), ("c", [2.0], "upsert", 2), ("d", [5.0], "upsert", 5)], kind)
+    for _ in range(2):  # a batch that runs again changes nothing more
+        apply_changes(c, late)
+        assert {r["id"]: r["vector"][0] for r in c.docs().collect()} == {"a": 9.0, "c": 2.0, "d": 5.0}
+
+
+def test_timeouts_codes_and_features(spark, tmp_path):
+    c = Database(spark, str(tmp_path), Config(dimension=1)).collection("c")
+    assert c.within(60, c.count) == 0
+    slow = F.udf(lambda x: __import__("time").sleep(2) or x, "long")
+    with pytest.raises(errors.OperationTimeoutError) as e:
+        c.within(1.0, lambda: spark.range(400).select(slow("id").alias("x")).agg(F.sum("x")).collect())
+    assert (e.value.code, e.value.category, e.value.severity, errors.is_fatal(e.value)) == ("Timeout", 0, "warning", False)
+    assert (errors.IndexCorruptedError().severity, errors.IndexCorruptedError().category, errors.is_fatal(errors.VersionError())) == ("fatal", 100, True)
+    assert feature_names(0b100011) == ["BasicColumnar", "ZstdCompression", "RowIndex"] and feature_names(1 << 20) == []
+    assert feature_names(feature_flags((1, 0))) == ["BasicColumnar", "ZstdCompression", "DictionaryEncoding", "RLE", "BitPacking"] and feature_flags() == 0b1111111
+
+
+@pytest.mark.parametrize("dimension", [256, 512, 768, 1024, 1536])
+def test_dimensions(spark, tmp_path, dimension):
+    c = Database(spark, str(tmp_path), Config(dimension=dimension)).collection("c")
+    c.insert(spark.createDataFrame([(f"d{i}", [0.01 * (i + j) for j in range(1, dimension + 1)]) for i in range(10)], "id string, vector array<float>"))
+    assert [r["id"] for r in c.search([0.01 * j for j in range(1, dimension + 1)], 5).orderBy("rank").collect()] == [f"d{i}" for i in range(5)]

@@ -35,3 +35,11 @@ def test_against_sql(spark, duck, name):
 
 def test_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_comparison_of_benchmarks():
+    import bench
+
+    found = bench.compare({"a": 10.0, "b": 1.0, "c": 2.0, "gone": 1.0}, {"a": 5.0, "b": 1.04, "c": 4.0, "new": 1.0})
+    assert found == {"change_percent": {"a": 100.0, "b": -3.8, "c": -50.0}, "improved": 1, "regressed": 1, "unchanged": 1}
+    assert bench.compare({}, {"a": 1.0})["improved"] == 0
