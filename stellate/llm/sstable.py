@@ -207,8 +207,8 @@ class WordEncoder:
 
     A vocabulary file whose steps are those of word_wise drops white space and never joins what stands on its two
     sides, so the ids of a text are those of its words (runs without ASCII white space), one after another. It also composes characters and
-    then folds case, so A-Z are folded here, save in texts that may spell special tokens and in words with a
-    combining mark or any other character beyond ASCII, which may compose with a capital. Words go to the library many at
+    then folds case, so A-Z are folded here, save in texts that may spell special tokens and in words beyond ASCII of
+    texts with a character of U+0300 to U+037F, where all marks are that compose with a capital of A-Z. Words go to the library many at
     a time, parted by MARK, whose single id doesn't stem from any word without a MARK in it. With any other file
     whole texts go to the library.
     """
@@ -277,7 +277,7 @@ class WordEncoder:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         raw = [t.encode() if t else b"" for t in texts]
-        words = [r.split() if b"<|" in r else r.lower().split() if r.isascii() else [w.lower() if w.isascii() else w for w in r.split()] for r in raw]
+        words = [r.split() if b"<|" in r else [w.lower() if w.isascii() else w for w in r.split()] if b"\xcc" in r or b"\xcd" in r else r.lower().split() for r in raw]
         self._learn(list(set().union(*words).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
