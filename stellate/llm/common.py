@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 512, 4 << 20, 1_024
+ROW_GROUP_BYTES = 16 << 20
 #: Keys of 16 bytes that are broadcast at most.
 KEYS_BROADCAST = 500_000
 
@@ -39,6 +40,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return GIVEN[-1]
 
 
+def write_scratch(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet in small row groups, which a task holds in memory until they are full."""
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.enable.dictionary", "false").parquet(path)
+
+
 def discard_scratch(spark: SparkSession) -> int:
     """Deletes what operators have written under scratch paths; for when their results are no longer read. Returns how many there were."""
     paths, GIVEN[:] = list(GIVEN), []
@@ -55,8 +61,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches hold BATCH_ROWS rows and BATCH_BYTES at most, so that Python workers need little memory."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    """Arrow batches hold BATCH_ROWS rows and BATCH_BYTES at most, and readers of files READ_ROWS rows, so that tasks over long texts need little memory."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.parquet.columnarReaderBatchSize": READ_ROWS}
+    for key, most in bounds.items():
         now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, str(most))

@@ -40,7 +40,7 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5  # similarity of 4/5 or more
 TREES, DEPTH_MOST, RECALL = 16, 8, 0.9995
 UNIT_NODES, UNIT_SHINGLES = 4_000, 6_000_000
 #: Nodes of a chunk; shingles that are signed at once; bins of similarities from the threshold to 1.
-CHUNK_NODES, SIGNED, BINS = 200_000, 50_000, 20
+CHUNK_NODES, SIGNED, BINS, LINES = 200_000, 50_000, 20, 256
 #: A set of more copies than this, and than the SHARE-th part of all rows (so there are fewer than SHARE such sets), is joined by broadcast.
 COPIES, SHARE = 10_000, 100_000
 WORDS_KEPT = 1_000_000
@@ -178,8 +178,8 @@ def link(sets: list[np.ndarray], keys: np.ndarray, done: np.ndarray | None, copi
 
     def count(common, a, b):
         least = NUMERATOR / DENOMINATOR
-        at = (common / (a + b - common) - least) / (1 - least) * BINS
-        np.add.at(bins, np.clip(np.asarray(at).astype(int), 0, BINS - 1), 1)
+        at = np.asarray((common / (a + b - common) - least) / (1 - least) * BINS)
+        bins[:] += np.bincount(np.clip(at.astype(int).ravel(), 0, BINS - 1), minlength=BINS)
 
     for t in tries:
         order = np.argsort(keys[:, t], kind="stable")
@@ -211,9 +211,13 @@ def link(sets: list[np.ndarray], keys: np.ndarray, done: np.ndarray | None, copi
                 continue
             own = [sets[i] for i in bucket]
             common = common_counts(own, own)
-            good = new & similar(common, sizes[bucket][:, None], sizes[bucket][None, :])
-            at = np.nonzero(good)
-            count(common[at], sizes[bucket][at[0]], sizes[bucket][at[1]])
+            good, n = new, sizes[bucket]
+            for low in range(0, len(bucket), LINES):  # lines of the matrices, so that what is made of them stays small
+                part = slice(low, low + LINES)
+                good[part] &= similar(common[part], n[part, None], n[None, :])
+                at = np.nonzero(good[part])
+                count(common[part][at], n[part][at[0]], n[at[1]])
+            del common
             good |= good.T
             links[bucket] += good @ copies[bucket]
             left = good.any(axis=1)
@@ -378,7 +382,9 @@ def compared(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, tree
             out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.binary())], names=["node", "copies", "signed", "units", "own"])
             yield out.filter(pa.array(good, pa.bool_()))
 
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).join(members, ["r1", "r2"]).select("t", "node", "copies", "signed", "units")
+    members = checkpointed(members)
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).join(few(members.select("r1", "r2")), ["r1", "r2"], "left_semi")  # few: other texts aren't shuffled
+    texts = texts.join(members, ["r1", "r2"]).select("t", "node", "copies", "signed", "units")
     dealt = texts.mapInArrow(sets, "node long, copies long, signed binary, units array<struct<unit:string,trie:int,block:int,across:boolean>>, own binary")
     dealt = dealt.select("node", "copies", "signed", "own", F.explode("units").alias("u")).select("u.unit", "u.trie", "u.block", "u.across", "node", "copies", "signed", "own")
 
@@ -464,8 +470,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, that of the least id (null last), and all rows without words."""
     base, sets = classes(docs, id_col, text_col, TREES, RECALL, UNIT_NODES, UNIT_SHINGLES)
-    stay = sets.select("at.r1", "at.r2", F.lit(True).alias("one")).distinct().unionByName(base.where("n = 0").select("r1", "r2", F.lit(False).alias("one")).distinct())
+    stay = sets.select("at.r1", "at.r2", F.lit(True).alias("stay"))
+    keys = base.where("n > 0").groupBy("r1", "r2").count().join(stay, ["r1", "r2"], "left")
+    some = checkpointed(keys.where("stay is null or count > 1"))  # of rows that go, and of rows identical in id and text
     row = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), *row_key(id_col, text_col))
-    same = Window.partitionBy("r1", "r2").orderBy("r1")  # identical in id and text; the join has put them side by side
-    kept = row.join(checkpointed(stay), ["r1", "r2"]).withColumn("k", F.row_number().over(same)).where("k = 1 or not one")
+    kept = row.join(few(some.select("r1", "r2")), ["r1", "r2"], "left_anti")
+    same = checkpointed(some.where("stay").select("r1", "r2"))
+    if not same.isEmpty():
+        one = row.join(few(same), ["r1", "r2"], "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("r1", "r2").orderBy("r1"))).where("k = 1").drop("k")
+        kept = kept.unionByName(one)
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed, scratch
+from stellate.llm.common import bounded_batches, checkpointed, scratch, write_scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Limit of the characters' distance for long texts, and what it widens by at one word (falling with the root).
@@ -193,29 +193,29 @@ def word_limits(measures: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, columns: list[str], text_col: str, lang_col: str) -> DataFrame:
-    """row (a struct c0, c1, ... of the columns), the base counts, base_failed and kept of every row."""
+    """c0, c1, ... (the columns), the base counts, base_failed and kept of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]) if columns else F.struct(F.lit(0).alias("c"))
+    row = [f"c{i}" for i in range(len(columns))]
     path = scratch(spark, "quality")
-    own = docs.select(row.alias("row"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), counted(F.col(text_col)).alias("stats")).select("row", "lang", "stats.*")
-    own.write.parquet(path)
+    own = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(columns, row)], F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), counted(F.col(text_col)).alias("stats")).select(*row, "lang", "stats.*")
+    write_scratch(own, path)
     stats = spark.read.schema(own.schema).parquet(path)
     refs = checkpointed(references(stats))
-    measures = with_references(stats, refs).withColumn("m", measured("n_words", "n_repeat_words", "chars", "words", "ref_chars", "ref_words")).select("row", "lang", *COUNTS, "m.*")
-    joined = with_references(measures, checkpointed(word_limits(measures.drop("row"))))
+    measures = with_references(stats, refs).withColumn("m", measured("n_words", "n_repeat_words", "chars", "words", "ref_chars", "ref_words")).select(*row, "lang", *COUNTS, "m.*")
+    joined = with_references(measures, checkpointed(word_limits(measures.drop(*row))))
     scaled = F.coalesce(F.try_element_at("limits", F.col("band")), F.try_element_at("limits", F.lit(-1)), F.lit(WORDS_DEFAULT))
     limit = F.least("most", F.greatest(F.lit(WORDS_FLOOR), scaled / F.sqrt("n_words")))  # least: of those that aren't null
     kept = ~F.col("base_failed") & ~F.col("chars_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
-    return joined.select("row", *COUNTS, "base_failed", kept.alias("kept"))
+    return joined.select(*row, *COUNTS, "base_failed", kept.alias("kept"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, the base counts, base_failed and kept of every row."""
-    return judged(docs, [id_col], text_col, lang_col).select(F.col("row.c0").alias(id_col), *COUNTS, "base_failed", "kept")
+    return judged(docs, [id_col], text_col, lang_col).select(F.col("c0").alias(id_col), *COUNTS, "base_failed", "kept")
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     kept = judged(docs, docs.columns, text_col, lang_col).where("kept")
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, checkpointed, few, scratch
+from stellate.llm.common import bounded_batches, checkpointed, few, scratch, write_scratch
 from stellate.llm.near_copies import mixed
 
 LENGTH, GRAM, MODULUS = 100, 32, 32
@@ -370,7 +370,7 @@ def with_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def matched(cut_up: DataFrame) -> DataFrame:
         path = scratch(spark, "repeats")
-        cut_up.repartition("trigger").sortWithinPartitions(*in_order).mapInArrow(match, schema).write.parquet(path)
+        write_scratch(cut_up.repartition("trigger").sortWithinPartitions(*in_order).mapInArrow(match, schema), path)
         return spark.read.schema(schema).parquet(path)
 
     found = matched(own.select(*row, "text").mapInArrow(cut, cut_schema))
