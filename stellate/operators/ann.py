@@ -31,6 +31,8 @@ GRAPHS = "shard int, node_id int, id {id}, vector array<float>, level int, links
 WIDEN, WIDEN_BY = 0.01, 1e-5
 #: Nodes of a shard, about; shards at least.
 SHARD_NODES, SHARDS_LEAST = 25_000, 4
+#: Nodes of a graph for whose building all distances are kept.
+TABLE_NODES = 2_000
 
 
 # The thresholds of both parameter rules and of the search breadth.
@@ -98,13 +100,24 @@ class Graph:
         self.v, self.levels, self.m, self.ef, self.metric = vectors, levels, m, ef_construction, metric
         self.links: list[list[list[int]]] = [[[] for _ in range(level + 1)] for level in levels]
         self.entry, self.top = -1, -1
+        self.table: np.ndarray | None = None  # distances of all pairs, while a small graph is built
 
     def dist(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return exact_distances(self.metric, q, self.v[nodes])
 
+    def between(self, nodes: list[int] | None = None) -> np.ndarray:
+        """Distances of all pairs of nodes, or of all nodes."""
+        if self.table is not None and nodes is not None:
+            return self.table[np.ix_(nodes, nodes)]
+        rows = self.v if nodes is None else self.v[nodes]
+        return np.array([exact_distances(self.metric, x, rows) for x in rows])
+
     def build(self) -> Graph:
+        if len(self.v) <= TABLE_NODES:
+            self.table = self.between()
         for i in range(len(self.v)):
             self._insert(i)
+        self.table = None
         return self
 
     def _insert(self, i: int) -> None:
@@ -112,37 +125,41 @@ class Graph:
         if self.entry < 0:
             self.entry, self.top = i, level
             return
-        q, near = self.v[i], self._descend(self.v[i], self.top, level)
-        starts = [near]
+        q = self.v[i]
+        known = (self.table[i, :i] if self.table is not None else exact_distances(self.metric, q, self.v[:i])).tolist()  # one product is less than many small ones
+        starts = [self._descend(q, self.top, level, known)]
         for layer in range(min(level, self.top), -1, -1):
-            found = self._layer(q, starts, self.ef, layer)
+            found = self._layer(q, starts, self.ef, layer, known)
             most = 2 * self.m if layer == 0 else self.m
             self.links[i][layer] = self._chosen(found, most)
             for j in self.links[i][layer]:
                 own = self.links[j][layer]
                 own.append(i)
                 if len(own) > most:
-                    d = self.dist(self.v[j], own)
+                    d = self.table[j, own] if self.table is not None else self.dist(self.v[j], own)
                     self.links[j][layer] = self._chosen(sorted(zip(d.tolist(), own)), most)
             starts = [n for _, n in found]
         if level > self.top:
             self.entry, self.top = i, level
 
-    def _descend(self, q: np.ndarray, from_: int, to: int) -> int:
-        now, d = self.entry, float(self.dist(q, [self.entry])[0])
+    def _far(self, q: np.ndarray, nodes: list[int], known: list[float] | None) -> list[float]:
+        return [known[n] for n in nodes] if known is not None else self.dist(q, nodes).tolist()
+
+    def _descend(self, q: np.ndarray, from_: int, to: int, known: list[float] | None = None) -> int:
+        now, d = self.entry, self._far(q, [self.entry], known)[0]
         for layer in range(from_, to, -1):
             while layer < len(self.links[now]) and self.links[now][layer]:
-                near = self.dist(q, self.links[now][layer])
-                best = int(near.argmin())
+                near = self._far(q, self.links[now][layer], known)
+                best = near.index(min(near))
                 if near[best] >= d:
                     break
-                now, d = self.links[now][layer][best], float(near[best])
+                now, d = self.links[now][layer][best], near[best]
         return now
 
-    def _layer(self, q: np.ndarray, starts: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
+    def _layer(self, q: np.ndarray, starts: list[int], ef: int, layer: int, known: list[float] | None = None) -> list[tuple[float, int]]:
         """The ef nearest nodes found from starts on, nearest first."""
         seen = set(starts)
-        open_ = list(zip(self.dist(q, starts).tolist(), starts))
+        open_ = list(zip(self._far(q, starts, known), starts))
         heapq.heapify(open_)
         best = [(-d, n) for d, n in open_]
         heapq.heapify(best)
@@ -154,7 +171,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for dx, x in zip(self.dist(q, new).tolist(), new):
+            for dx, x in zip(self._far(q, new, known), new):
                 if len(best) < ef or dx < -best[0][0] + abs(best[0][0]) * WIDEN + WIDEN_BY:
                     heapq.heappush(open_, (dx, x))
                     heapq.heappush(best, (-dx, x))
@@ -166,16 +183,16 @@ class Graph:
         """Near nodes in all directions: one that is nearer to a chosen one than to the centre waits."""
         if len(found) <= most:
             return [n for _, n in found]
+        nodes = [n for _, n in found]
+        apart = self.between(nodes).tolist() if self.table is not None or len(nodes) <= 2 * most else None
         chosen: list[int] = []
         waiting: list[int] = []
-        for d, n in found:
+        for i, (d, n) in enumerate(found):
             if len(chosen) == most:
                 break
-            if chosen and (self.dist(self.v[n], chosen) < d).any():
-                waiting.append(n)
-            else:
-                chosen.append(n)
-        return chosen + waiting[: most - len(chosen)]
+            near = any([apart[i][c] < d for c in chosen]) if apart else bool(chosen) and bool((self.dist(self.v[n], [nodes[c] for c in chosen]) < d).any())
+            (waiting if near else chosen).append(i)
+        return [nodes[i] for i in chosen + waiting[: most - len(chosen)]]
 
     def search(self, q: np.ndarray, k: int, ef: int, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k nearest nodes found, of those that are alive."""
