@@ -131,6 +131,7 @@ class Thresholds:
     rle: float = 0.5
     dictionary: float = 0.5
     dictionary_most: int = 1 << 20
+    dictionary_most_middle: float = 1 << 20  # of columns that only the wider threshold calls few-valued
     byte_stream_entropy: float = 4.0
     few_values: int = 100
     early: float = 0.1  # of runs and of distinct values, before bit width counts
@@ -139,7 +140,8 @@ class Thresholds:
 def integer_encoding(num_values, run_ratio, cardinality_ratio, max_bit_width, cardinality=None, by: Thresholds = Thresholds()) -> Column:
     """The encoding that suits integers of such a profile."""
     n, runs, card, bits = (x if isinstance(x, Column) else F.col(x) for x in (num_values, run_ratio, cardinality_ratio, max_bit_width))
-    many = (cardinality if isinstance(cardinality, Column) else F.col(cardinality)) > by.dictionary_most if cardinality is not None else F.lit(False)
+    count = F.lit(None).cast("long") if cardinality is None else cardinality if isinstance(cardinality, Column) else F.col(cardinality)
+    many = F.coalesce(count > F.when(card < by.early, F.lit(by.dictionary_most)).otherwise(F.lit(by.dictionary_most_middle)), F.lit(False))
     chosen = F.when((n < by.few_values) | runs.isNull() | card.isNull(), "zstd").when(runs < by.early, "rle").when(card < by.early, "dictionary").when(bits <= by.bit_packing_most, "bitpacking")
     chosen = chosen.when(card < by.dictionary, "dictionary").when(runs < by.rle, "rle").otherwise("zstd")
     return F.when((chosen == "dictionary") & many, "zstd").otherwise(chosen)

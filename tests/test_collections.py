@@ -240,6 +240,23 @@ def test_profile_of_many_columns_is_that_of_each(spark):
     assert (found["a"]["max_bit_width"], found["b"]["max_bit_width"], found["c"]["max_bit_width"]) == (2, 64, None)
 
 
+def test_advice_on_millions_of_values_is_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    # 1.2 million orders of 4 lines each: a share of distinct values between both thresholds, above the bound in number
+    lines = spark.range(0, 4_800_000, 1, 4).select((F.col("id") / 4).cast("long").alias("l_orderkey"), F.pmod(F.xxhash64("id"), F.lit(5_000_000)).alias("l_partkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = {tuple(r) for r in __spark_entry__.queries()["encoding_advice"](spark, str(tmp_path)).select("column_name", "encoding").collect()}
+    assert found == set(db.execute(__spark_entry__.oracle_sql()["encoding_advice"]).fetchall()) and ("l_orderkey", "dictionary") in found
+    # by default the bound holds at any share
+    row = spark.range(1).select(*[F.lit(x).alias(n) for n, x in (("n", 4_800_000), ("runs", 0.9), ("share", 0.25), ("bits", 21), ("card", 1_200_000))])
+    assert row.select(profile.integer_encoding("n", "runs", "share", "bits", "card")).first()[0] == "zstd"
+
+
 def test_encodings_are_applied(spark, tmp_path):
     from pyarrow import parquet as pq
 
