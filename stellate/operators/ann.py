@@ -27,12 +27,13 @@ from stellate.operators.knn import blocks, exact_distances, top_k
 
 LEVEL_MOST = 16
 GRAPHS = "shard int, node_id int, id {id}, vector array<float>, level int, links array<struct<layer:int,neighbors:array<int>>>, entry boolean"
+FIXED = "m int, ef_construction int, dimension int, metric string, shards int, seed int"
 #: Admission to a full candidate set is a little wider than its worst member: by a hundredth of its absolute value (distances may be negative here), and a bit.
 WIDEN, WIDEN_BY = 0.01, 1e-5
 #: Nodes of a shard, about; shards at least.
 SHARD_NODES, SHARDS_LEAST = 25_000, 4
-#: Nodes of a graph for whose building all distances are kept.
-TABLE_NODES = 2_000
+#: Numbers in a matrix, about, while graphs are built.
+CELLS = 1 << 22
 
 
 # The thresholds of both parameter rules and of the search breadth.
@@ -93,6 +94,29 @@ def draw_level(u: float, m: int) -> int:
     return min(LEVEL_MOST, int(-math.log(max(u, 1e-300)) / math.log(m)))
 
 
+def _chosen(rows: np.ndarray, squares: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which of its candidates (near, a line a node, nearest first; infinitely far: none) each node is linked to: near ones in all directions; one that is nearer to a chosen one than to the node waits."""
+    keep = np.empty(near.shape, bool)
+    step = max(1, CELLS // (near.shape[1] * max(near.shape[1], rows.shape[1])))
+    for lo in range(0, len(near), step):
+        some, d = near[lo : lo + step], far[lo : lo + step]
+        x, own = rows[some], squares[some]
+        apart = x @ x.transpose(0, 2, 1)
+        apart *= -2
+        apart += own[:, :, None]
+        apart += own[:, None, :]
+        closer, valid = apart < d[:, None, :], np.isfinite(d)
+        waits, taken, count = ~valid, np.zeros(d.shape, bool), np.zeros(len(d), np.int64)
+        for c in range(d.shape[1]):
+            take = ~waits[:, c] & (count < most)
+            count += take
+            taken[:, c] = take
+            waits |= closer[:, c] & take[:, None]
+        waits = valid & ~taken
+        keep[lo : lo + step] = taken | (waits & (waits.cumsum(axis=1) <= (most - count)[:, None]))
+    return keep
+
+
 class Graph:
     """One shard's graph; vectors is an n x d matrix whose rows are the nodes."""
 
@@ -100,66 +124,96 @@ class Graph:
         self.v, self.levels, self.m, self.ef, self.metric = vectors, levels, m, ef_construction, metric
         self.links: list[list[list[int]]] = [[[] for _ in range(level + 1)] for level in levels]
         self.entry, self.top = -1, -1
-        self.table: np.ndarray | None = None  # distances of all pairs, while a small graph is built
 
     def dist(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
         return exact_distances(self.metric, q, self.v[nodes])
 
-    def between(self, nodes: list[int] | None = None) -> np.ndarray:
-        """Distances of all pairs of nodes, or of all nodes."""
-        if self.table is not None and nodes is not None:
-            return self.table[np.ix_(nodes, nodes)]
-        rows = self.v if nodes is None else self.v[nodes]
-        return np.array([exact_distances(self.metric, x, rows) for x in rows])
-
-    def build(self) -> Graph:
-        if len(self.v) <= TABLE_NODES:
-            self.table = self.between()
-        for i in range(len(self.v)):
-            self._insert(i)
-        self.table = None
+    def grow(self, start: int = 0) -> Graph:
+        """Links the nodes from start on, which have no links yet, and those before them that they choose.
+
+        Each chooses among the ef nodes before it in its layer that are nearest to it, which products of matrices
+        find; once all have, the nodes that have been chosen choose among their links and those that came.
+        """
+        levels = np.array(self.levels)
+        if start < len(levels):
+            rows, squares = self._prepared()
+            for layer in range(int(levels[start:].max()) + 1):
+                members = np.flatnonzero(levels >= layer)
+                self._grow_layer(layer, members, int(np.searchsorted(members, start)), rows[members], squares[members])
+            self.entry = int(levels.argmax())
+            self.top = self.levels[self.entry]
         return self
 
-    def _insert(self, i: int) -> None:
-        level = self.levels[i]
-        if self.entry < 0:
-            self.entry, self.top = i, level
-            return
-        q = self.v[i]
-        known = (self.table[i, :i] if self.table is not None else exact_distances(self.metric, q, self.v[:i])).tolist()  # one product is less than many small ones
-        starts = [self._descend(q, self.top, level, known)]
-        for layer in range(min(level, self.top), -1, -1):
-            found = self._layer(q, starts, self.ef, layer, known)
-            most = 2 * self.m if layer == 0 else self.m
-            self.links[i][layer] = self._chosen(found, most)
-            for j in self.links[i][layer]:
-                own = self.links[j][layer]
-                own.append(i)
-                if len(own) > most:
-                    d = self.table[j, own] if self.table is not None else self.dist(self.v[j], own)
-                    self.links[j][layer] = self._chosen(sorted(zip(d.tolist(), own)), most)
-            starts = [n for _, n in found]
-        if level > self.top:
-            self.entry, self.top = i, level
-
-    def _far(self, q: np.ndarray, nodes: list[int], known: list[float] | None) -> list[float]:
-        return [known[n] for n in nodes] if known is not None else self.dist(q, nodes).tolist()
-
-    def _descend(self, q: np.ndarray, from_: int, to: int, known: list[float] | None = None) -> int:
-        now, d = self.entry, self._far(q, [self.entry], known)[0]
+    def _prepared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors and numbers of each such that a + b - 2xy puts pairs in the order of the metric: what l2 vectors have in common would only add to the rounding error."""
+        if self.metric in ("l2", "l2_sqrt"):
+            rows = self.v - self.v.mean(axis=0)
+            return rows, (rows**2).sum(axis=1)
+        norms = np.sqrt((self.v**2).sum(axis=1, keepdims=True)) if self.metric == "cosine" else 1.0
+        return self.v / np.where(norms == 0, 1.0, norms), np.zeros(len(self.v))
+
+    def _grow_layer(self, layer: int, members: np.ndarray, first: int, rows: np.ndarray, squares: np.ndarray) -> None:
+        """Nodes are places among the members here, of which those from first on are new."""
+        most, n, pairs = 2 * self.m if layer == 0 else self.m, len(members), []
+        lo = first
+        while lo < n:
+            hi = min(n, lo + max(1, CELLS // n))
+            far = rows[lo:hi] @ rows[:hi].T
+            far *= -2
+            far += squares[None, :hi]
+            far += squares[lo:hi, None]
+            far[:, lo:][np.arange(hi - lo)[:, None] <= np.arange(hi - lo)] = np.inf  # itself and those after it
+            width = min(max(self.ef, most), hi)
+            near = np.argpartition(far, width - 1, axis=1)[:, :width] if width < hi else np.broadcast_to(np.arange(hi), far.shape)
+            far = np.take_along_axis(far, near, axis=1)
+            order = np.lexsort((near, far), axis=1)
+            near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
+            keep = _chosen(rows, squares, near, far, most)
+            pairs.append((np.repeat(np.arange(lo, hi), keep.sum(axis=1)), near[keep], far[keep]))
+            lo = hi
+        one, other, far = (np.concatenate(x) for x in zip(*pairs))
+        known = [(j, x) for j in np.unique(other[other < first]).tolist() for x in self.links[members[j]][layer]]  # of the chosen that were there
+        old = np.array([j for j, _ in known], np.int64)
+        to = np.searchsorted(members, np.array([x for _, x in known], np.int64))
+        apart = squares[old] + squares[to] - 2 * np.einsum("ij,ij->i", rows[old], rows[to])
+        one, other, far = np.concatenate([one, other, old]), np.concatenate([other, one, to]), np.concatenate([far, far, apart])
+        order = np.lexsort((other, far, one))
+        one, other, far = one[order], other[order], far[order]
+        at, sizes = np.unique(one, return_index=True, return_counts=True)[1:]
+        by_size = np.argsort(sizes, kind="stable")
+        lo = 0
+        while lo < len(at):
+            hi, width = lo + 1, int(min(sizes[by_size[lo]], max(self.ef, most)))
+            while hi < len(at) and (hi + 1 - lo) * int(min(sizes[by_size[hi]], max(self.ef, most))) ** 2 <= CELLS:
+                hi += 1
+            some = by_size[lo:hi]
+            width = int(min(sizes[some].max(), max(self.ef, most)))
+            there = np.arange(width) < sizes[some][:, None]
+            place = np.where(there, at[some][:, None] + np.arange(width), 0)
+            near = np.where(there, other[place], 0)
+            keep = there if width <= most else _chosen(rows, squares, near, np.where(there, far[place], np.inf), most)
+            for j, row, kept in zip(one[at[some]].tolist(), members[near], keep):
+                self.links[members[j]][layer] = row[kept].tolist()
+            lo = hi
+
+    def _far(self, q: np.ndarray, nodes: list[int]) -> list[float]:
+        return self.dist(q, nodes).tolist()
+
+    def _descend(self, q: np.ndarray, from_: int, to: int) -> int:
+        now, d = self.entry, self._far(q, [self.entry])[0]
         for layer in range(from_, to, -1):
             while layer < len(self.links[now]) and self.links[now][layer]:
-                near = self._far(q, self.links[now][layer], known)
+                near = self._far(q, self.links[now][layer])
                 best = near.index(min(near))
                 if near[best] >= d:
                     break
                 now, d = self.links[now][layer][best], near[best]
         return now
 
-    def _layer(self, q: np.ndarray, starts: list[int], ef: int, layer: int, known: list[float] | None = None) -> list[tuple[float, int]]:
+    def _layer(self, q: np.ndarray, starts: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef nearest nodes found from starts on, nearest first."""
         seen = set(starts)
-        open_ = list(zip(self._far(q, starts, known), starts))
+        open_ = list(zip(self._far(q, starts), starts))
         heapq.heapify(open_)
         best = [(-d, n) for d, n in open_]
         heapq.heapify(best)
@@ -171,7 +225,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for dx, x in zip(self._far(q, new, known), new):
+            for dx, x in zip(self._far(q, new), new):
                 if len(best) < ef or dx < -best[0][0] + abs(best[0][0]) * WIDEN + WIDEN_BY:
                     heapq.heappush(open_, (dx, x))
                     heapq.heappush(best, (-dx, x))
@@ -179,21 +233,6 @@ class Graph:
                         heapq.heappop(best)
         return sorted((-d, n) for d, n in best)
 
-    def _chosen(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Near nodes in all directions: one that is nearer to a chosen one than to the centre waits."""
-        if len(found) <= most:
-            return [n for _, n in found]
-        nodes = [n for _, n in found]
-        apart = self.between(nodes).tolist() if self.table is not None or len(nodes) <= 2 * most else None
-        chosen: list[int] = []
-        waiting: list[int] = []
-        for i, (d, n) in enumerate(found):
-            if len(chosen) == most:
-                break
-            near = any([apart[i][c] < d for c in chosen]) if apart else bool(chosen) and bool((self.dist(self.v[n], [nodes[c] for c in chosen]) < d).any())
-            (waiting if near else chosen).append(i)
-        return [nodes[i] for i in chosen + waiting[: most - len(chosen)]]
-
     def search(self, q: np.ndarray, k: int, ef: int, alive: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k nearest nodes found, of those that are alive."""
         if self.entry < 0 or not k:
@@ -232,6 +271,11 @@ class Graph:
         })
 
 
+def _by_shard(df: DataFrame, shards: int):
+    """Groups of shards, each in a task of its own."""
+    return df.repartitionById(shards, "shard").groupBy("shard")
+
+
 def shards_for(n: int) -> int:
     return max(SHARDS_LEAST, -(-n // SHARD_NODES))
 
@@ -242,9 +286,10 @@ def _dealt(docs: DataFrame, shards: int, seed: int, id_col: str, vector_col: str
     return docs.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), u.alias("u"))
 
 
-def _with_views(graphs: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
+def _with_views(graphs: DataFrame, meta: DataFrame, *parameters) -> dict[str, DataFrame]:
     edges = graphs.select("shard", "node_id", F.explode("links").alias("l")).select("shard", "node_id", "l.layer", F.explode("l.neighbors").alias("neighbor_id"))
-    return {"graphs": graphs, "nodes": graphs.select("shard", "node_id", "id", "vector", "level"), "edges": edges, "meta": meta}
+    fixed = {"fixed": graphs.sparkSession.createDataFrame([parameters], FIXED)} if parameters else {}  # what meta repeats, without a look at the graphs
+    return {"graphs": graphs, "nodes": graphs.select("shard", "node_id", "id", "vector", "level"), "edges": edges, "meta": meta} | fixed
 
 
 def _meta(graphs: DataFrame, m: int, ef: int, dimension: int, metric: str, shards: int, seed: int) -> DataFrame:
@@ -267,10 +312,10 @@ def build_index(docs: DataFrame, config: IndexConfig, id_col: str = "id", vector
         vectors = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         if vectors.shape[1] != dimension:
             raise ValueError("vectors differ in dimension")
-        return Graph(vectors, [draw_level(u, m) for u in pdf["u"]], m, ef, metric).build().rows(key[0], pdf["id"].tolist(), pdf["vector"].tolist())
+        return Graph(vectors, [draw_level(u, m) for u in pdf["u"]], m, ef, metric).grow().rows(key[0], pdf["id"].tolist(), pdf["vector"].tolist())
 
-    graphs = _dealt(docs, shards, seed, id_col, vector_col).groupBy("shard").applyInPandas(build, GRAPHS.format(id=kind))
-    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed))
+    graphs = _by_shard(_dealt(docs, shards, seed, id_col, vector_col), shards).applyInPandas(build, GRAPHS.format(id=kind))
+    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed), m, ef, dimension, metric, shards, seed)
 
 
 def add_to_index(index: dict[str, DataFrame], docs: DataFrame, id_col: str = "id", vector_col: str = "vector") -> dict[str, DataFrame]:
@@ -291,24 +336,21 @@ def add_to_index(index: dict[str, DataFrame], docs: DataFrame, id_col: str = "id
             graph = Graph.of(old, m, ef, metric) if len(old) else Graph(np.empty((0, dimension)), [], m, ef, metric)
             graph.v, graph.levels = np.concatenate([graph.v, vectors]), graph.levels + levels
             graph.links += [[[] for _ in range(level + 1)] for level in levels]
-            for i in range(len(old), len(graph.v)):
-                graph._insert(i)
+            graph.grow(len(old))
         else:
             graph = Graph.of(old, m, ef, metric)
         return graph.rows(key[0], [*old["id"], *new["id"]], [*old["vector"], *new["vector"]])
 
-    graphs = index["graphs"].groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(insert, GRAPHS.format(id=kind))
-    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed))
+    graphs = _by_shard(index["graphs"], shards).cogroup(_by_shard(new, shards)).applyInPandas(insert, GRAPHS.format(id=kind))
+    return _with_views(graphs, _meta(graphs, m, ef, dimension, metric, shards, seed), m, ef, dimension, metric, shards, seed)
 
 
 def save_index(index: dict[str, DataFrame], path: str) -> None:
     """Writes the graphs, once, and the parameters from what was written."""
     index["graphs"].write.mode("overwrite").parquet(f"{path}/graphs")
-    first = index["meta"]
     graphs = index["graphs"].sparkSession.read.schema(index["graphs"].schema).parquet(f"{path}/graphs")
-    fixed = first.select("m", "ef_construction", "dimension", "metric", "shards", "seed")
-    row = fixed.first() if not graphs.isEmpty() else None
-    meta = _meta(graphs, row["m"], row["ef_construction"], row["dimension"], row["metric"], row["shards"], row["seed"]) if row else first
+    row = index.get("fixed", index["meta"]).first()
+    meta = _meta(graphs, row["m"], row["ef_construction"], row["dimension"], row["metric"], row["shards"], row["seed"]) if row else index["meta"]
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -355,7 +397,7 @@ def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int
     """query_col, id, distance and rank. ef 0: max(200, 2k); "adaptive": by k and the number of nodes. alive: ids of the nodes that count."""
     if k < 0:
         raise ValueError("k must not be negative")
-    meta = index["meta"].agg(F.first("metric").alias("metric"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("n")).first()
+    meta = index["meta"].agg(F.first("metric").alias("metric"), F.first("shards").alias("shards"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("n")).first()
     metric, breadth = meta["metric"] or "l2", query_ef(k, meta["n"]) if ef == "adaptive" else ef or default_ef(k)
     breadth = breadth if strict_ef else max(breadth, k)
     kind, asked_kind = dict(index["graphs"].dtypes)["id"], dict(queries.dtypes)[query_col]
@@ -373,7 +415,7 @@ def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int
             rows = [(name, ids[n], d) for name, q in zip(names, matrix) for d, n in graph.search(q, k, breadth, live)]
             return pd.DataFrame(rows, columns=[query_col, "id", "distance"])
 
-        return graphs.groupBy("shard").applyInPandas(run, schema)
+        return _by_shard(graphs, meta["shards"] or 1).applyInPandas(run, schema)
 
     asked = queries.select(query_col, F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     parts = [searched(block) for block in blocks(asked)]
