@@ -8,13 +8,15 @@ to; nodes and edges are views of the graphs. Vectors are added to the graphs tha
 their nodes and change links only.
 
 A search may be told which nodes are alive. Dead ones are passed through, not answered: the search widens until
-it has k that are alive, and where a graph has no more to give, the rest is ranked exactly. Queries go in blocks.
+it has k that are alive, and where a graph has no more to give, the rest is ranked exactly. A search as broad as
+a graph has nodes ranks them by matrix products instead of visiting them. Queries go in blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.operators.knn import blocks, exact_distances, top_k
+from stellate.operators.knn import blocks, exact_distances, nearest, top_k
 
 LEVEL_MOST = 16
 GRAPHS = "shard int, node_id int, id {id}, vector array<float>, level int, links array<struct<layer:int,neighbors:array<int>>>, entry boolean"
@@ -32,7 +34,7 @@ FIXED = "m int, ef_construction int, dimension int, metric string, shards int, s
 WIDEN, WIDEN_BY = 0.01, 1e-5
 #: Nodes of a shard, about; shards at least.
 SHARD_NODES, SHARDS_LEAST = 25_000, 4
-#: Numbers in a matrix, about, while graphs are built.
+#: Numbers in a matrix, about, while graphs are built or scanned.
 CELLS = 1 << 22
 
 
@@ -251,6 +253,16 @@ class Graph:
             ef = min(2 * ef, len(self.v))
         return []
 
+    def scan(self, queries: np.ndarray, ids: np.ndarray, k: int, alive: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As search of the breadth of the whole graph, for all queries at once: places of queries, and ids and distances of the k nearest nodes, ties by id."""
+        rows, ids = (self.v, ids) if alive is None else (self.v[alive], ids[alive])
+        if not len(rows) or not k:
+            return
+        step = max(1, CELLS // len(rows))
+        for lo in range(0, len(queries), step):
+            for i, at, d in nearest(self.metric, queries[lo : lo + step], ids, rows, k):
+                yield lo + i, ids[at], d
+
     @classmethod
     def of(cls, nodes: pd.DataFrame, m: int, ef_construction: int, metric: str) -> Graph:
         """The graph that rows of a shard, in order of node_id, hold."""
@@ -412,7 +424,10 @@ def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int
             nodes = nodes.sort_values("node_id")
             ids, graph = nodes["id"].to_numpy(), Graph.of(nodes, 0, 0, metric)
             live = (nodes["alive"] == True).to_numpy(bool) if some else None  # noqa: E712 (null: not alive)
-            rows = [(name, ids[n], d) for name, q in zip(names, matrix) for d, n in graph.search(q, k, breadth, live)]
+            if breadth >= len(ids):  # all nodes would be visited, one query after another
+                rows = [(names[i], x, d) for i, near, far in graph.scan(matrix, ids, k, live) for x, d in zip(near.tolist(), far.tolist())]
+            else:
+                rows = [(name, ids[n], d) for name, q in zip(names, matrix) for d, n in graph.search(q, k, breadth, live)]
             return pd.DataFrame(rows, columns=[query_col, "id", "distance"])
 
         return _by_shard(graphs, meta["shards"] or 1).applyInPandas(run, schema)

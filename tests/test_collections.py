@@ -418,6 +418,25 @@ def test_an_index_is_built_once(spark, tmp_path):
     assert [r["n"] for r in tasks] == [1, 1, 1]
 
 
+def cut(index):
+    """Without its links."""
+    return index | {"graphs": index["graphs"].withColumn("links", F.transform("links", lambda x: x.withField("neighbors", F.array().cast("array<int>"))))}
+
+
+def test_a_search_as_broad_as_the_graph_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(47)
+    v = rng.integers(0, 3, (400, 6)).astype(float)  # many ties
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<float>")
+    index, asked = ann.build_index(docs, ann.IndexConfig(6, shards=2)), docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    monkeypatch.setattr(ann, "CELLS", 1000)
+    exact = sorted(knn.search_batch(docs, asked, 7).select("query_id", "id", "distance", "rank").collect())
+    assert sorted(ann.ann_search(cut(index), asked, 7, ef=400).select("query_id", "id", "distance", "rank").collect()) == exact  # nodes that no link leads to, too
+    alive = docs.where("id % 4 = 1")
+    some = sorted(knn.search_batch(alive, asked, 7).select("query_id", "id", "distance", "rank").collect())
+    assert sorted(ann.ann_search(cut(index), asked, 7, ef=400, alive=alive).select("query_id", "id", "distance", "rank").collect()) == some
+    assert ann.ann_search(index, asked, 7, ef=400, alive=docs.limit(0)).count() == 0 and ann.ann_search(index, asked, 0, ef=400).count() == 0
+
+
 def test_queries_of_an_index_go_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(44)
     docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.random((200, 4)))], "id long, vector array<float>")
