@@ -463,6 +463,14 @@ def test_broad_searches_after_changes_take_seconds(spark, tmp_path):
     assert same_hits(found, knn.search_batch(c.docs(), asked, 10)) and found.count() == 2_500
 
 
+def test_broad_searches_with_a_condition_take_seconds(spark, tmp_path):
+    began = time.perf_counter()
+    c, asked = thousands(spark, tmp_path)
+    found = c.search_index(asked, 10, ef=2_500, where=field("g", "eq", 5)).localCheckpoint()
+    assert time.perf_counter() - began < 90
+    assert same_hits(found, knn.search_batch(c.docs(), asked, 10, where=field("g", "eq", 5))) and found.count() == 2_500
+
+
 def test_queries_of_an_index_go_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(44)
     docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.random((200, 4)))], "id long, vector array<float>")
