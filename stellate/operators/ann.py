@@ -2,14 +2,16 @@
 
 Vectors are dealt to shards by a hash of their id; each shard builds its graph by itself, and a query
 descends all graphs, the best k of all shards being the answer. There are as many shards as keep each at
-SHARD_NODES nodes, about. The index is two tables: graphs (a row a node: shard, node_id, id, vector, level and
+SHARD_NODES nodes, about; a collection that needs few is dealt to SHARDS_SOON, down to SHARD_LEAST nodes each, as
+a shard is built in one task. The index is two tables: graphs (a row a node: shard, node_id, id, vector, level and
 links by layer) and a row of parameters a shard, with the metric, so that a loaded index ranks as it was built
 to; nodes and edges are views of the graphs. Vectors are added to the graphs that are there (add), which keep
 their nodes and change links only.
 
 A search may be told which nodes are alive. Dead ones are passed through, not answered: the search widens until
 it has k that are alive, and where a graph has no more to give, the rest is ranked exactly. A search as broad as
-a graph has nodes ranks them by matrix products instead of visiting them. Queries go in blocks.
+a graph has nodes ranks them by matrix products instead of visiting them; if it is as broad as every graph, the
+nodes that are alive are ranked where they lie, without their links. Queries go in blocks.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.operators.knn import blocks, exact_distances, nearest, top_k
+from stellate.operators.knn import blocks, exact_distances, nearest, search_batch, top_k
 
 LEVEL_MOST = 16
 GRAPHS = "shard int, node_id int, id {id}, vector array<float>, level int, links array<struct<layer:int,neighbors:array<int>>>, entry boolean"
 FIXED = "m int, ef_construction int, dimension int, metric string, shards int, seed int"
 #: Admission to a full candidate set is a little wider than its worst member: by a hundredth of its absolute value (distances may be negative here), and a bit.
 WIDEN, WIDEN_BY = 0.01, 1e-5
-#: Nodes of a shard, about; shards at least.
-SHARD_NODES, SHARDS_LEAST = 25_000, 4
+#: Nodes of a shard, about; shards at least; shards as soon as each has SHARD_LEAST nodes.
+SHARD_NODES, SHARDS_LEAST, SHARDS_SOON, SHARD_LEAST = 25_000, 4, 16, 5_000
 #: Numbers in a matrix, about, while graphs are built or scanned.
 CELLS = 1 << 22
 
@@ -96,25 +98,30 @@ def draw_level(u: float, m: int) -> int:
     return min(LEVEL_MOST, int(-math.log(max(u, 1e-300)) / math.log(m)))
 
 
-def _chosen(rows: np.ndarray, squares: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
-    """Which of its candidates (near, a line a node, nearest first; infinitely far: none) each node is linked to: near ones in all directions; one that is nearer to a chosen one than to the node waits."""
-    keep = np.empty(near.shape, bool)
-    step = max(1, CELLS // (near.shape[1] * max(near.shape[1], rows.shape[1])))
+def _chosen(rows: np.ndarray, own: np.ndarray, near: np.ndarray, valid: np.ndarray, most: int, local: bool) -> np.ndarray:
+    """Which of its candidates (near, a line a node of own, nearest first, where valid) each node is linked to: near ones in all directions; one that is nearer to a chosen one than to the node waits.
+
+    i is nearer to j than the node v is where (i - v)(j - v) > (i - v)^2 / 2 (local), or by products alone (i - v) j > 0.
+    Differences are taken in full and multiplied in single precision, in parts that stay in the cache.
+    """
+    keep, width = np.empty(near.shape, bool), near.shape[1]
+    step, part = max(1, 4 * CELLS // width**2), max(1, CELLS // (8 * width * max(width, rows.shape[1])))
     for lo in range(0, len(near), step):
-        some, d = near[lo : lo + step], far[lo : lo + step]
-        x, own = rows[some], squares[some]
-        apart = x @ x.transpose(0, 2, 1)
-        apart *= -2
-        apart += own[:, :, None]
-        apart += own[:, None, :]
-        closer, valid = apart < d[:, None, :], np.isfinite(d)
-        waits, taken, count = ~valid, np.zeros(d.shape, bool), np.zeros(len(d), np.int64)
-        for c in range(d.shape[1]):
+        some, there = near[lo : lo + step], valid[lo : lo + step]
+        closer = np.empty((len(some), width, width), bool)
+        for at in range(0, len(some), part):
+            x = rows[some[at : at + part]]
+            y = (x - rows[own[lo + at : lo + at + len(x)], None]).astype(np.float32)
+            x = y if local else x.astype(np.float32)
+            half = np.einsum("ijk,ijk->ij", y, y) / 2 if local else np.zeros(y.shape[:2], np.float32)
+            np.greater(y @ x.transpose(0, 2, 1), half[:, :, None], out=closer[at : at + part])
+        waits, taken, count = ~there, np.zeros(there.shape, bool), np.zeros(len(there), np.int64)
+        for c in range(width):
             take = ~waits[:, c] & (count < most)
             count += take
             taken[:, c] = take
             waits |= closer[:, c] & take[:, None]
-        waits = valid & ~taken
+        waits = there & ~taken
         keep[lo : lo + step] = taken | (waits & (waits.cumsum(axis=1) <= (most - count)[:, None]))
     return keep
 
@@ -147,30 +154,29 @@ class Graph:
         return self
 
     def _prepared(self) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors and numbers of each such that a + b - 2xy puts pairs in the order of the metric: what l2 vectors have in common would only add to the rounding error."""
-        if self.metric in ("l2", "l2_sqrt"):
-            rows = self.v - self.v.mean(axis=0)
-            return rows, (rows**2).sum(axis=1)
-        norms = np.sqrt((self.v**2).sum(axis=1, keepdims=True)) if self.metric == "cosine" else 1.0
-        return self.v / np.where(norms == 0, 1.0, norms), np.zeros(len(self.v))
+        """Vectors, none longer than 1, and numbers of each such that a + b - 2xy puts pairs in the order of the metric: what l2 vectors have in common would only add to the rounding error."""
+        local = self.metric in ("l2", "l2_sqrt")
+        rows = self.v - self.v.mean(axis=0) if local else self.v
+        norms = np.sqrt((rows**2).sum(axis=1, keepdims=True))
+        norms = norms if self.metric == "cosine" else norms.max()
+        rows = rows / np.where(norms == 0, 1.0, norms)
+        return rows, (rows**2).sum(axis=1) if local else np.zeros(len(rows))
 
     def _grow_layer(self, layer: int, members: np.ndarray, first: int, rows: np.ndarray, squares: np.ndarray) -> None:
         """Nodes are places among the members here, of which those from first on are new."""
-        most, n, pairs = 2 * self.m if layer == 0 else self.m, len(members), []
+        most, n, pairs, local = 2 * self.m if layer == 0 else self.m, len(members), [], self.metric in ("l2", "l2_sqrt")
+        left, right = np.column_stack([-2 * rows, np.ones(n), squares]), np.column_stack([rows, squares, np.ones(n)])
         lo = first
         while lo < n:
             hi = min(n, lo + max(1, CELLS // n))
-            far = rows[lo:hi] @ rows[:hi].T
-            far *= -2
-            far += squares[None, :hi]
-            far += squares[lo:hi, None]
+            far = left[lo:hi] @ right[:hi].T
             far[:, lo:][np.arange(hi - lo)[:, None] <= np.arange(hi - lo)] = np.inf  # itself and those after it
             width = min(max(self.ef, most), hi)
             near = np.argpartition(far, width - 1, axis=1)[:, :width] if width < hi else np.broadcast_to(np.arange(hi), far.shape)
             far = np.take_along_axis(far, near, axis=1)
             order = np.lexsort((near, far), axis=1)
             near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
-            keep = _chosen(rows, squares, near, far, most)
+            keep = _chosen(rows, np.arange(lo, hi), near, np.isfinite(far), most, local)
             pairs.append((np.repeat(np.arange(lo, hi), keep.sum(axis=1)), near[keep], far[keep]))
             lo = hi
         one, other, far = (np.concatenate(x) for x in zip(*pairs))
@@ -193,7 +199,7 @@ class Graph:
             there = np.arange(width) < sizes[some][:, None]
             place = np.where(there, at[some][:, None] + np.arange(width), 0)
             near = np.where(there, other[place], 0)
-            keep = there if width <= most else _chosen(rows, squares, near, np.where(there, far[place], np.inf), most)
+            keep = there if width <= most else _chosen(rows, one[at[some]], near, there, most, local)
             for j, row, kept in zip(one[at[some]].tolist(), members[near], keep):
                 self.links[members[j]][layer] = row[kept].tolist()
             lo = hi
@@ -289,7 +295,7 @@ def _by_shard(df: DataFrame, shards: int):
 
 
 def shards_for(n: int) -> int:
-    return max(SHARDS_LEAST, -(-n // SHARD_NODES))
+    return max(SHARDS_LEAST, min(SHARDS_SOON, n // SHARD_LEAST), -(-n // SHARD_NODES))
 
 
 def _dealt(docs: DataFrame, shards: int, seed: int, id_col: str, vector_col: str) -> DataFrame:
@@ -300,7 +306,8 @@ def _dealt(docs: DataFrame, shards: int, seed: int, id_col: str, vector_col: str
 
 def _with_views(graphs: DataFrame, meta: DataFrame, *parameters) -> dict[str, DataFrame]:
     edges = graphs.select("shard", "node_id", F.explode("links").alias("l")).select("shard", "node_id", "l.layer", F.explode("l.neighbors").alias("neighbor_id"))
-    fixed = {"fixed": graphs.sparkSession.createDataFrame([parameters], FIXED)} if parameters else {}  # what meta repeats, without a look at the graphs
+    names = [x.split() for x in FIXED.split(", ")]
+    fixed = {"fixed": graphs.sparkSession.range(1).select(*[F.lit(x).cast(t).alias(c) for x, (c, t) in zip(parameters, names)])} if parameters else {}  # what meta repeats, without a look at the graphs
     return {"graphs": graphs, "nodes": graphs.select("shard", "node_id", "id", "vector", "level"), "edges": edges, "meta": meta} | fixed
 
 
@@ -406,16 +413,22 @@ def neighbors(index: dict[str, DataFrame], node_id: int, layer: int = 0) -> Data
 
 
 def ann_search(index: dict[str, DataFrame], queries: DataFrame, k: int, ef: int | str = 0, query_col: str = "query_id", vector_col: str = "vector", strict_ef: bool = False, alive: DataFrame | None = None) -> DataFrame:
-    """query_col, id, distance and rank. ef 0: max(200, 2k); "adaptive": by k and the number of nodes. alive: ids of the nodes that count."""
+    """query_col, id, distance and rank. ef 0: max(200, 2k); "adaptive": by k and the number of nodes. alive: ids of the nodes that count; with a vector, those of this vector only."""
     if k < 0:
         raise ValueError("k must not be negative")
-    meta = index["meta"].agg(F.first("metric").alias("metric"), F.first("shards").alias("shards"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("n")).first()
+    meta = index["meta"].agg(F.first("metric").alias("metric"), F.first("shards").alias("shards"), F.coalesce(F.sum("num_nodes"), F.lit(0)).alias("n"), F.coalesce(F.max("num_nodes"), F.lit(0)).alias("largest")).first()
     metric, breadth = meta["metric"] or "l2", query_ef(k, meta["n"]) if ef == "adaptive" else ef or default_ef(k)
     breadth = breadth if strict_ef else max(breadth, k)
     kind, asked_kind = dict(index["graphs"].dtypes)["id"], dict(queries.dtypes)[query_col]
     graphs, schema = index["graphs"], f"`{query_col}` {asked_kind}, id {kind}, distance double"
     some = alive is not None
-    graphs = graphs.join(alive.select("id", F.lit(True).alias("alive")).distinct(), "id", "left") if some else graphs.withColumn("alive", F.lit(True))
+    if some:
+        own = ["id", "vector"] if "vector" in alive.columns else ["id"]
+        alive = alive.select([F.col(c).cast("array<float>").alias(c) if c == "vector" else c for c in own])
+    if breadth >= meta["largest"]:
+        nodes = graphs.select("id", "vector")
+        return search_batch(nodes.join(alive, own, "left_semi") if some else nodes, queries, k, metric, query_col=query_col, query_vector_col=vector_col)
+    graphs = graphs.join(alive.distinct().withColumn("alive", F.lit(True)), own, "left") if some else graphs.withColumn("alive", F.lit(True))
 
     def searched(block: list) -> DataFrame:
         names, matrix = [r[0] for r in block], np.array([r[1] for r in block], np.float64)

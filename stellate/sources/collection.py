@@ -70,6 +70,11 @@ def upserted(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def _empty(spark: SparkSession, fields: list[T.StructField]) -> DataFrame:
+    """No rows, known to the optimizer as such, and made without Python."""
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).where(F.lit(False))
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, name: str, config: Config, metadata: T.StructType | None = None):
         self.spark, self.path, self.name, self.config = spark, path, name, config
@@ -77,7 +82,7 @@ class Collection:
         self._at = (self.table.versions() or [0])[-1]
         stored = self.table.read()
         fixed = [T.StructField("id", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("ts", T.TimestampType())]
-        self._docs = stored if stored is not None else spark.createDataFrame([], T.StructType([*fixed, *(metadata or [])]))
+        self._docs = stored if stored is not None else _empty(spark, [*fixed, *(metadata or [])])
 
     @property
     def staged(self) -> int:
@@ -258,12 +263,11 @@ class Collection:
         index = self.load_index(check=False)
         if index is None or index["meta"].isEmpty():
             raise EmptyIndexError("search", collection=self.name)
-        fresh = self._indexed(index)
         if strict_orphans:
-            return ann.ann_search(index, queries, k, ef, query_col).join(fresh, "id", "left_semi")
-        docs = self.docs() if where is None else self.find(where, json)
-        found = ann.ann_search(index, queries, k, ef, query_col, alive=fresh.join(docs.select("id"), "id", "left_semi"))
-        rest = docs.join(fresh, "id", "left_anti")
+            return ann.ann_search(index, queries, k, ef, query_col).join(self._indexed(index), "id", "left_semi")
+        docs = (self.docs() if where is None else self.find(where, json)).select("id", "vector")
+        found = ann.ann_search(index, queries, k, ef, query_col, alive=docs)
+        rest = docs.join(index["nodes"].select("id", "vector"), ["id", "vector"], "left_anti")
         exact = knn.search_batch(rest, queries, k, self.config.metric, query_col=query_col)
         return knn.top_k(found.drop("rank").unionByName(exact.drop("rank")), k, query_col, "id")
 

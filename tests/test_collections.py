@@ -471,6 +471,33 @@ def test_broad_searches_with_a_condition_take_seconds(spark, tmp_path):
     assert same_hits(found, knn.search_batch(c.docs(), asked, 10, where=field("g", "eq", 5))) and found.count() == 2_500
 
 
+def test_broad_searches_after_changes_move_no_links(spark, tmp_path):
+    rng = np.random.default_rng(49)
+    v = rng.integers(0, 3, (300, 6)).astype(float)
+    c = Database(spark, str(tmp_path), Config(dimension=6, shards=2)).collection("v")
+    c.insert(spark.createDataFrame([(f"d{i:03}", x.tolist(), i % 5) for i, x in enumerate(v)], "id string, vector array<float>, g int"))
+    c.build_index()
+    c.delete_batch(c.docs().where("g = 1").select("id"))
+    c.upsert(spark.createDataFrame([("d002", v[7].tolist(), 2), ("new", v[2].tolist(), 2)], "id string, vector array<float>, g int"))
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 300, 30)], "query_id long, vector array<float>")
+    for where in (None, field("g", "eq", 2)):
+        broad, narrow = c.search_index(asked, 7, ef=300, where=where), c.search_index(asked, 7, ef=100, where=where)
+        assert same_hits(broad, knn.search_batch(c.docs(), asked, 7, where=where)) and narrow.count() == 70
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (narrow, broad)]
+        assert ["FlatMapGroupsInPandas" in p for p in plans] == [True, False]  # no graph is put together
+
+
+def test_large_blocks_are_ranked_in_parts(monkeypatch):
+    rng = np.random.default_rng(50)
+    rows, ids = rng.integers(0, 3, (500, 6)).astype(float), np.arange(500)
+    for metric in ("l2", "l2_sqrt", "inner_product", "cosine"):
+        for k in (1, 7, 500, 600):
+            monkeypatch.setattr(knn, "CELLS", 1 << 30)
+            whole = [(i, at.tolist(), d.tolist()) for i, at, d in knn.nearest(metric, rows[:50], ids, rows, k)]
+            monkeypatch.setattr(knn, "CELLS", 1_700)
+            assert [(i, at.tolist(), d.tolist()) for i, at, d in knn.nearest(metric, rows[:50], ids, rows, k)] == whole and len(whole) == 50
+
+
 def test_queries_of_an_index_go_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(44)
     docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.random((200, 4)))], "id long, vector array<float>")
