@@ -394,12 +394,10 @@ def index_problems(index: dict[str, DataFrame]) -> DataFrame:
     own = nodes.select("shard", "node_id", "level")
     to = own.select("shard", F.col("node_id").alias("neighbor_id"), F.col("level").alias("to_level"))
     joined = edges.join(own, ["shard", "node_id"], "left").join(to, ["shard", "neighbor_id"], "left")
-    checks = [
-        dense.agg(F.lit("ids not dense").alias("problem"), F.count("*").alias("n")),
-        joined.where("level is null or to_level is null").agg(F.lit("edges without a node").alias("problem"), F.count("*").alias("n")),
-        joined.where("layer > level or layer > to_level").agg(F.lit("edges above a level").alias("problem"), F.count("*").alias("n")),
-    ]
-    out = checks[0].unionByName(checks[1]).unionByName(checks[2])
+    of_edges = joined.agg(F.count_if(F.expr("level is null or to_level is null")).alias("missing"), F.count_if(F.expr("layer > level or layer > to_level")).alias("above"))  # edges are read once
+    out = dense.agg(F.lit("ids not dense").alias("problem"), F.count("*").alias("n")).unionByName(
+        of_edges.select(F.expr("stack(2, 'edges without a node', missing, 'edges above a level', above) as (problem, n)"))
+    )
     return out.where("n > 0")
 
 

@@ -487,6 +487,17 @@ def test_broad_searches_after_changes_move_no_links(spark, tmp_path):
         assert ["FlatMapGroupsInPandas" in p for p in plans] == [True, False]  # no graph is put together
 
 
+def test_indexes_of_a_hundred_thousand_are_built_and_checked_quickly(spark):
+    assert [ann.shards_for(n) for n in (2_500, 24_999, 30_000, 102_564, 400_000, 1_000_000)] == [4, 4, 6, 16, 16, 40]  # 5 tasks before at 102,564
+    node, edge = "shard int, node_id int, level int", "shard int, node_id int, layer int, neighbor_id int"
+    nodes = spark.createDataFrame([(0, 0, 1), (0, 1, 0), (0, 3, 0), (1, 0, 0), (1, 1, 0)], node)
+    edges = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 1), (0, 1, 1, 3), (0, 2, 0, 0), (1, 0, 0, 1), (1, 1, 0, 9), (1, 7, 0, 8)], edge)
+    problems = ann.index_problems({"nodes": nodes, "edges": edges})
+    assert {r["problem"]: r["n"] for r in problems.collect()} == {"ids not dense": 1, "edges without a node": 3, "edges above a level": 2}
+    assert ann.index_problems({"nodes": nodes.where("shard = 1"), "edges": edges.limit(0)}).count() == 0
+    assert problems._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4  # edges are read once: 7 before
+
+
 def test_large_blocks_are_ranked_in_parts(monkeypatch):
     rng = np.random.default_rng(50)
     rows, ids = rng.integers(0, 3, (500, 6)).astype(float), np.arange(500)
